@@ -55,3 +55,8 @@ def uniform(seed: int, *cols: Column) -> Column:
     """A draw from [0, 1) that depends on the seed and the values alone."""
     h = F.xxhash64(F.lit(seed).cast("long"), *cols)
     return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
+
+
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once for each row though f names it more often or in inner functions."""
+    return F.transform(F.array(x), f)[0]

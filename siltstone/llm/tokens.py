@@ -11,18 +11,28 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Most words that one worker remembers, and the longest of them in characters.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 1_200_000, 48
 
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|\x00|[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A cut that is one piece, of Latin letters; then one that only a mark after letters makes longer.
+_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?])?")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if printable, else from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_SIGNS = _byte_signs()
 
 
 class Encoder(dict):
-    """A mapping of text cuts to their ids as little-endian unsigned 32-bit integers."""
+    """A mapping of text cuts to their ids as unsigned 32-bit integers of a little-endian machine."""
 
     def __init__(self, tokenizer_file: str) -> None:
         super().__init__()
@@ -31,9 +41,17 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
 
     def __missing__(self, cut: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(cut, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        word = _WORD.fullmatch(cut)
+        if word and word[2]:
+            ids = self[word[1]] + self[word[2]]
+        elif word:  # one piece: the library's merges alone
+            signs = cut.encode().decode("latin-1").translate(_SIGNS)
+            ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()
         if len(cut) <= LONGEST:
             if len(self) >= MEMORY:
                 self.clear()
@@ -44,7 +62,8 @@ class Encoder(dict):
         """The ids of a whole text; null counts as empty."""
         if not text:
             return b""
-        if _ODD.search(text):
+        flat = text.replace("\n", " ")
+        if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":  # blanks side by side or at an end, or others
             cuts = _CUT.split(text)
         else:
             cuts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
