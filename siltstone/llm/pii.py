@@ -173,11 +173,17 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    # North American numbers keep their country code; area and exchange start from 2
+    # numbers of ten digits keep their country code, and 0 or 1 where area and exchange should not start
+    # with them: such numbers are written as telephone numbers though they were not dealt out
     pre = F.regexp_extract(m, r"^(?:\+?1[ .\-]?)?", 0)
     rest = F.substring(m, F.length(pre) + 1, F.length(m))
-    plan = r"^(\D*)[2-9]\d\d(\D*)[2-9]\d\d(\D*)\d{4}$"
-    local = F.concat(pre, string(rest, R(rest, L(plan), L("$1899$2899$39999")), key, "phone"))
+    plan = r"^(\D*)\d\d\d(\D*)\d\d\d(\D*)\d{4}$"
+
+    def first(skipped: str) -> Column:
+        return F.when(F.regexp_extract(rest, rf"^{skipped}(\d)", 1) >= "2", L("8")).otherwise(L("x"))
+
+    mask = R(rest, L(plan), F.concat(L("$1"), first(r"\D*"), L("99$2"), first(r"\D*\d{3}\D*"), L("99$39999")))
+    local = F.concat(pre, string(rest, mask, key, "phone"))
     # other numbers keep their first two digits
     head, tail = F.substring(m, 1, 3), F.substring(m, L(4), F.length(m))
     abroad = F.concat(head, string(tail, default_mask(tail), key, "phone"))
