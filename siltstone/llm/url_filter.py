@@ -128,12 +128,12 @@ WITH cap AS (SELECT page_id, url, {host} AS host, regexp_extract(trim(url), '^[A
         1704067200 + ({drawn.format("page_id || '|' || url || 't'")} % 366) * 86400 AS t FROM pages),
 h AS (SELECT DISTINCT host FROM cap WHERE host IS NOT NULL),
 d AS (SELECT host, {drawn.format("host || 'a'")} AS a, {drawn.format("host || 'b'")} AS b FROM h),
-e AS (SELECT * FROM (VALUES {curated}) v(list, kind, key, action, at)
+e AS (SELECT * FROM (VALUES {curated}) v(list, kind, key, action, since)
   UNION ALL SELECT 'daily', 'block', host, 'add', 1704067200 + (b % 200) * 86400 FROM d WHERE a % 10 = 0
   UNION ALL SELECT 'daily', 'block', host, 'remove', 1704067200 + (b % 200 + 30 + b % 61) * 86400 FROM d WHERE a % 10 = 0
   UNION ALL SELECT 'daily', 'block', host, 'add', 1704067200 + (b % 200 + 50 + b % 61) * 86400 FROM d WHERE a % 40 = 0),
-iv AS (SELECT * FROM (SELECT *, lead(at) OVER (PARTITION BY list, kind, key ORDER BY at) AS until FROM e) WHERE action = 'add'),
-hit AS (SELECT page_id, url, t, list, kind, key FROM cap JOIN iv ON t >= at AND (until IS NULL OR t < until)
+iv AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY list, kind, key ORDER BY since) AS until FROM e) WHERE action = 'add'),
+hit AS (SELECT page_id, url, t, list, kind, key FROM cap JOIN iv ON t >= since AND (until IS NULL OR t < until)
         AND ('.' || host || '/' || path || '/') LIKE ('%.' || split_part(key, '/', 1) || '/%')
         AND CASE WHEN contains(key, '/') THEN ends_with('.' || host, '.' || split_part(key, '/', 1)) AND split_part(path, '/', 1) = split_part(key, '/', 2)
             ELSE ends_with('.' || host, '.' || key) END),
