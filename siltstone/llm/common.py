@@ -1,51 +1,22 @@
-"""What the operators share: reading a table, the shared folder, words, a keyed uniform draw."""
+"""What the operators share: reading a table, written tables, words, a keyed uniform draw."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.plans.staging import shared_dir, shared_path, staged
+
+__all__ = ["WORD", "bound", "shared_dir", "shared_path", "staged", "table", "uniform", "word_count"]
+
 #: A word: a run of code points other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where the session names none (tests on one machine), a temporary folder takes its place
-    and is remembered in the session, so that a session uses one folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltstone.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("siltstone.shared.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back.
-
-    It cuts the lineage at a table that outlives an executor, and gives the planner file sizes,
-    so that a later join is broadcast only if the table is small by measure.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
