@@ -22,10 +22,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, *cols: Column) -> Column:
-    """A draw from [0, 1) that depends on the seed and the values alone."""
-    h = F.xxhash64(F.lit(seed).cast("long"), *cols)
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """A draw from [0, 1) that depends on the seed, the doc_id and the text alone; 52 bits of an MD5 sum."""
+    named = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def bound(x: Column, f) -> Column:

@@ -114,3 +114,31 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
+def _sql() -> str:
+    """The scan of `documents` for DuckDB, whose patterns know no look-around: words are matched with their blanks, twice."""
+
+    def canon(x: str) -> str:
+        out = rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\n©]+', ' ', 'g')"
+        out = rf"regexp_replace({out}, '(?m)^ ?(?:copyright (?:c |©|\d|by |the )|copyright$|c \d{{4}}|©)[^\n]*$', '', 'g')"
+        for a, b in SPELLINGS:
+            for _ in range(2):
+                out = rf"regexp_replace({out}, '(^|[^\p{{L}}\p{{N}}]){a}($|[^\p{{L}}\p{{N}}])', '\1{b}\2', 'g')"
+        return out
+
+    flat = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    return rf"""
+WITH k AS (SELECT license, text FROM (VALUES {known}) v(license, text)),
+known AS (SELECT min(license) AS license, sha256({flat.format("c")}) AS digest FROM (SELECT license, {canon("text")} AS c FROM k) GROUP BY 2),
+c AS (SELECT row_number() OVER () AS row_no, doc_id, {canon("text")} AS c FROM documents WHERE text IS NOT NULL),
+u AS (SELECT row_no, doc_id, 'text' AS unit, {flat.format("c")} AS flat FROM c
+  UNION ALL SELECT row_no, doc_id, 'block', {flat.format("x")} FROM (SELECT row_no, doc_id, unnest(regexp_split_to_array(c, '\n ?\n[ \n]*')) AS x FROM c)
+  UNION ALL SELECT row_no, doc_id, 'line', trim(x) FROM (SELECT row_no, doc_id, unnest(string_split(c, chr(10))) AS x FROM c)),
+d AS (SELECT DISTINCT row_no, doc_id, unit, flat FROM u WHERE flat <> '')
+SELECT doc_id, unit, license, digest, CAST(length(flat) - length(replace(flat, ' ', '')) + 1 AS INT) AS n_words FROM d JOIN known ON sha256(flat) = known.digest
+"""
+
+
+SQL = _sql()

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op6_rule_ledger": rules.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op2_mix_sources": mixing.SQL, "op6_rule_ledger": rules.SQL, "op7_license_scan": licenses.SQL}
