@@ -58,8 +58,10 @@ def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(slots, np.uint32(1 << bits)), np.append(values / norm, 1.0)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
-    """Weights by FTRL-proximal, one row at a time."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.05) -> np.ndarray:
+    """Weights by FTRL-proximal, one row at a time; both labels count as much in total."""
+    ones = sum(y for *_, y in rows)
+    share = {y: len(rows) / (2 * n) for y, n in ((1, ones), (0, len(rows) - ones)) if n}
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int =
         for at, x, y in rows:
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
+            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - y) * share[y] * x
             more = ni + g * g
             z[at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / alpha * w
             n[at] = more
@@ -99,7 +101,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 20_000, epochs: int = 3, seed: int = 9) -> np.ndarray:
+def trained(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 20_000, epochs: int = 8, seed: int = 9) -> np.ndarray:
     """Weights from labelled documents outside the held-out fold.
 
     The sample has at most max_rows rows of two numbers, so broadcasting it is safe by its bound.
