@@ -46,7 +46,7 @@ def kept_grams(text: Column, k: int = K, w: int = W) -> Column:
 
     # windows before the first gram's: the grams come after w - 1 nulls
     def windows(g: Column) -> Column:
-        return F.concat(F.array_repeat(F.lit(None).cast("long"), w - 1), g)
+        return F.when(F.size(g) > 0, F.concat(F.array_repeat(F.lit(None).cast("long"), w - 1), g)).otherwise(g)
 
     out = units
     for step in (grams, windows, least(4, 1), least(w, 4)):

@@ -21,7 +21,7 @@ def plain(text, k=winnow.K, w=winnow.W):
             h = xxhash.xxh64_intdigest(struct.pack("<Q", x), h)
         grams.append(h & ((1 << 39) - 1))
     out = set()
-    for s in range(1 - w, len(grams)):
+    for s in range(1 - w, len(grams)) if grams else ():
         window = range(max(0, s), min(len(grams), s + w))
         out.add(min(window, key=lambda i: (grams[i], -i)))
     return {(grams[i], i) for i in out}
