@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import schema as S
 from siltstone.functions import paths
 
 
@@ -16,6 +17,17 @@ def search(entries: DataFrame, pattern: str, most: int | None = None) -> DataFra
     return out if most is None else out.orderBy("entry_idx").limit(most)
 
 
+def at(entries: DataFrame, ordinal: int) -> DataFrame:
+    """The entry of an ordinal, if its path is safe to read and its content fits in a row."""
+    fits = F.col("data_size") <= S.MOST_ENTRY_READ
+    return entries.where((F.col("entry_idx") == ordinal) & paths.safe_to_read(F.col("path")) & fits)
+
+
+def byte_range(contents: DataFrame, offset: int, size: int) -> DataFrame:
+    """(path, part): bytes of each content from an offset; fewer, or none, where it ends before."""
+    return contents.select("path", F.substring(F.col("content").cast("binary"), offset + 1, size).alias("part"))
+
+
 def match_count(entries: DataFrame, pattern: str) -> DataFrame:
     return entries.where(paths.glob(F.col("path"), pattern)).agg(F.count("*").alias("matches"))
 

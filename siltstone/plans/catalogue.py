@@ -246,6 +246,8 @@ QUERIES: dict = {
     "search_prefix": (lambda s, d: search.search(_new(s, d), "src7/*"), "SELECT * FROM n WHERE starts_with(path, 'src7/')"),
     "search_count": (lambda s, d: search.match_count(_new(s, d), "*.txt"), "SELECT count(*) AS matches FROM n WHERE path LIKE '%.txt'"),
     "search_limit": (search_limit, "SELECT entry_idx, path FROM no WHERE path LIKE 'src1%/e%.txt' ORDER BY entry_idx LIMIT 25"),
+    "point_read": (lambda s, d: search.at(_offsets(s, d), 17).select("entry_idx", "path", "hash"), "SELECT entry_idx, path, hash FROM no WHERE entry_idx = 17"),
+    "byte_range": (lambda s, d: search.byte_range(new_contents(s, d), 100, 50).select("path", F.sha2("part", 256).alias("part_hash"), F.octet_length("part").cast("long").alias("size")), "SELECT path, sha256(part) AS part_hash, CAST(octet_length(part) AS BIGINT) AS size FROM (SELECT path, encode(content)[101:150] AS part FROM nc)"),
     "exists_checks": (exists_checks, r"""SELECT p AS path, EXISTS (SELECT 1 FROM n WHERE path = p) AS is_file, EXISTS (SELECT 1 FROM n WHERE p <> '' AND starts_with(path, p || '/')) AS is_folder
         FROM (VALUES ('src1/en'), ('src1'), ('src1/'), ('src1/en/41.txt'), ('src'), ('nowhere'), ('')) v(p)"""),
     "folder_extract": (lambda s, d: search.folder(_new(s, d), "src1/en", "out/"), "SELECT *, 'out/' || path[9:] AS target FROM n WHERE starts_with(path, 'src1/en/')"),
