@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import table
+from siltstone.llm.common import table, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Added to the input's columns; renamed by callers.
@@ -138,6 +138,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir)
     out = scored(docs, trained(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.3).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.staging import shared_dir, shared_path, staged
 
-__all__ = ["WORD", "bound", "shared_dir", "shared_path", "staged", "table", "uniform", "word_count"]
+__all__ = ["WORD", "bound", "shared_dir", "shared_path", "staged", "table", "texts", "uniform", "word_count"]
 
 #: A word: a run of code points other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """doc_id and text of a table, dealt anew only if it has fewer partitions than there are cores."""
+    df, cores = table(spark, sf_dir, name).select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.xxhash64("doc_id", "text"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

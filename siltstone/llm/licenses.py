@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import texts
 
 #: Equivalent spellings, the second form standing for both.
 SPELLINGS = [
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), known_digests(spark))
+    return scan(texts(spark, sf_dir), known_digests(spark))
 
 
 def _sql() -> str:

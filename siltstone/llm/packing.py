@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import staged, table
+from siltstone.llm.common import staged, texts
 from siltstone.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -122,4 +122,4 @@ def packed(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int =
 def op8_pack_best_fit(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

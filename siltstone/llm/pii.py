@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import texts
 
 ROUNDS = 8
 L, R = F.lit, F.regexp_replace
@@ -237,5 +237,5 @@ def pseudonymised(docs: DataFrame, key: str = "demonstration key") -> DataFrame:
 
 def op3_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
     kinds = F.filter(F.transform(F.coalesce(F.col(FOUND), F.array().cast("array<struct<kind:string,new:string>>")), lambda x: x["kind"]), lambda k: k.isNotNull())
-    out = found(table(spark, sf_dir, "documents").select("doc_id", "text"), "demonstration key")
+    out = found(texts(spark, sf_dir), "demonstration key")
     return out.select("doc_id", _rebuilt().alias("text"), F.size(kinds).cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"))

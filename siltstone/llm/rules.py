@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, bound, table
+from siltstone.llm.common import WORD, bound, texts
 
 WINDOW = 8
 
@@ -116,7 +116,7 @@ def ablations(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op6_rule_ledger(spark, sf_dir: str) -> DataFrame:
-    out = verdicts(ledger(table(spark, sf_dir, "documents")))
+    out = verdicts(ledger(texts(spark, sf_dir)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"), "kept", "n_lines", "n_marked_words", "failed")
 
 
