@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import shared_path, staged, table
+from siltstone.llm.common import shared_path, staged, texts
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: An odd factor mixes 64 bits one to one; its inverse undoes it.
@@ -73,7 +73,7 @@ def flips(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(radius // 2 + 1) for c in combinations(range(64), k)], np.uint64)
 
 
-def _emit(radius: int, bucket_bits: int, block_bits: int, block: int, chunk: int = 2048):
+def _emit(radius: int, bucket_bits: int, block_bits: int, block: int, chunk: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, low = flips(radius), bucket_bits - block_bits
         numbers = np.arange(len(masks), dtype=np.uint64)
@@ -86,7 +86,7 @@ def _emit(radius: int, bucket_bits: int, block_bits: int, block: int, chunk: int
                 h, number = h[ours], np.broadcast_to(numbers, ours.shape)[ours]
                 entry = (h << np.uint64(bucket_bits)) >> np.uint64(bucket_bits) << np.uint64(FLIP_BITS) | number
                 held.append((h >> np.uint64(64 - bucket_bits) & np.uint64((1 << low) - 1), entry))
-                if sum(len(e) for _, e in held) >= 1 << 22 or at + chunk >= len(fps):
+                if sum(len(e) for _, e in held) >= 1 << 20 or at + chunk >= len(fps):
                     bucket = np.concatenate([b for b, _ in held])
                     order = np.argsort(bucket.astype(np.uint16) if low <= 16 else bucket, kind="stable")
                     entry, bucket = np.concatenate([e for _, e in held])[order], bucket[order]
@@ -174,13 +174,27 @@ def _shuffles_dropped(spark):
 def close_pairs(fps: DataFrame, radius: int = 4, block_bits: int = 3, bucket_rows: int = 1 << 20) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links within the radius."""
     spark, path = fps.sparkSession, shared_path(fps.sparkSession, "simhash-links")
-    variants = fps.count() * len(flips(radius))
+    n = fps.count()
+    variants = n * len(flips(radius))
     bucket_bits = min(40, max(FLIP_BITS, (variants // bucket_rows).bit_length()))
     with _shuffles_dropped(spark):
         for block in range(1 << block_bits):
-            dealt = fps.select("fp").mapInArrow(_emit(radius, bucket_bits, block_bits, block), "bucket long, entries binary")
+            dealt = fps.select("fp").repartition(-(-n // 8192) or 1, "fp").mapInArrow(_emit(radius, bucket_bits, block_bits, block), "bucket long, entries binary")
             dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius, bucket_bits), "a long, b long").write.mode("append").parquet(path)
-    return spark.read.schema("a long, b long").parquet(path)
+    # each task reported links of its own; those of a node meet here and become trees again
+    links = spark.read.schema("a long, b long").parquet(path)
+    return staged(links.repartition("a").mapInArrow(_trees, "a long, b long"), "simhash-trees")
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.link(a, b)
+        if len(forest.up) >= HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
+            forest = Forest()
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,5 +241,5 @@ def kept_ones(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
 
 
 def op4_simhash_classes(spark, sf_dir: str) -> DataFrame:
-    out = classes(table(spark, sf_dir, "documents"))
+    out = classes(texts(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
