@@ -5,7 +5,7 @@ a copyright notice left out, equivalent spellings made one. The digest of the wh
 block between empty lines and of each line is joined by hash to the digests of known licence texts.
 Only whole units match, so prose that merely mentions a licence does not.
 
-The table of known texts is a relation of the planner's own knowledge of size: it is
+The table of known digests is written first, so that the planner knows its size: it is
 broadcast if it is below the session's threshold, else joined by a shuffle of digests.
 
 Nulls: a null or empty text, and a unit without letters or digits, matches nothing. Repeated rows
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import texts
+from siltstone.llm.common import staged, texts
 
 #: Equivalent spellings, the second form standing for both.
 SPELLINGS = [
@@ -86,7 +86,7 @@ def digest(flat: Column) -> Column:
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(license, known_digest), each digest once."""
     rows = spark.createDataFrame(known, "license string, text string")
-    return rows.select("license", digest(_flat(canonical_lines(F.col("text")))).alias("known_digest")).dropDuplicates(["known_digest"])
+    return staged(rows.groupBy(digest(_flat(canonical_lines(F.col("text")))).alias("known_digest")).agg(F.min("license").alias("license")), "known-licenses")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
