@@ -92,7 +92,7 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """documents -> one row for each unit that is a known text: doc_id, unit, license, digest, n_words."""
     flat = F.transform
-    canon = docs.select("doc_id", canonical_lines(F.col("text").cast("string")).alias("c")).where("c is not null")
+    canon = docs.where("text is not null").select("doc_id", canonical_lines(F.col("text").cast("string")).alias("c"))
     units = canon.select(
         "doc_id",
         F.explode(
