@@ -17,8 +17,8 @@ from array import array
 MEMORY, LONGEST = 1_200_000, 48
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A cut that is one piece, of Latin letters; then one that only a mark after letters makes longer.
-_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?])?")
+#: A cut that is one piece, of Latin letters, or two, with marks behind them.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)?")
 
 
 def _byte_signs() -> dict[int, int]:
@@ -29,6 +29,7 @@ def _byte_signs() -> dict[int, int]:
 
 
 _SIGNS = _byte_signs()
+_SPACE = chr(_SIGNS[32])
 
 
 class Encoder(dict):
@@ -48,7 +49,7 @@ class Encoder(dict):
         if word and word[2]:
             ids = self[word[1]] + self[word[2]]
         elif word:  # one piece: the library's merges alone
-            signs = cut.encode().decode("latin-1").translate(_SIGNS)
+            signs = cut.replace(" ", _SPACE) if cut.isascii() else cut.encode().decode("latin-1").translate(_SIGNS)
             ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()

@@ -24,7 +24,7 @@ def plain_ids(text):
 def test_encoder_equals_the_library():
     encode = Encoder(FILE)
     rng = random.Random(1)
-    pieces = ["a", "Word", " ", "  ", "\n", "\t", "1", "'s", "é", "　", "\x1f", "!!", "日本", "\x00", "don't"]
+    pieces = ["a", "Word", " ", "  ", "\n", "\t", "1", "'s", "é", "　", "\x1f", "!!", "日本", "\x00", "don't", "word...", "'s", "_", "naïve", "!?"]
     for text in [*texts(), *("".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(2000))]:
         assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain_ids(text), repr(text)
 
