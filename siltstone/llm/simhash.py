@@ -236,8 +236,8 @@ def classes(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
 
 def kept_ones(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One document of each component: that with the least doc_id (documents without doc_id all stay)."""
-    gone = staged(classes(docs, radius, width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = staged(classes(docs, radius, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct(), "simhash-gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
 
 
 def op4_simhash_classes(spark, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def keys(host: Column, path: Column, depth: int) -> Column:
 
 def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(capture_id, url, fetched_at) -> also host, n_lists, list, key, kind, blocked."""
-    valid = staged(intervals(entries), "url-intervals")
+    captures, valid = captures.select("capture_id", "url", "fetched_at"), staged(intervals(entries), "url-intervals")
     depth = valid.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     distinct = captures.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct()
     asked = distinct.withColumn("key", F.explode(keys(host_of(F.col("url")), path_of(F.col("url")), depth)))

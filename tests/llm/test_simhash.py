@@ -73,7 +73,7 @@ def test_chain_and_star_components(spark):
 def test_classes_on_hard_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [*enumerate(texts()), (100, base), (101, base), (102, base.replace("w399", "other")), (None, base), (None, "alone one"), (7, base[::-1]), (7, base[::-1])]
-    docs = documents(spark, rows).withColumn("fp", F.lit("clash")).withColumn("root", F.lit(1))
+    docs = documents(spark, rows).withColumn("fp", F.lit("clash")).withColumns({c: F.lit(1) for c in ("root", "gone_id", "a", "node")})
     out = simhash.classes(docs).collect()
     assert len(out) == len(rows)
     fps = [plain(t) for _, t in rows]

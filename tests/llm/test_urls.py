@@ -27,7 +27,7 @@ CASES = [
 def frames(spark, cases):
     captures = spark.createDataFrame([(i, u, None if d is None else at(d)) for i, u, d, _ in cases], "capture_id long, url string, fetched_at timestamp_ntz").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     entries = spark.createDataFrame(ENTRIES, "list string, kind string, key string, action string, at timestamp_ntz").withColumn("at", F.col("at").cast("timestamp"))
-    return captures.withColumn("key", F.lit("clash")).withColumn("valid_to", F.lit(0)), entries
+    return captures.withColumn("key", F.lit("clash")).withColumns({c: F.lit(0) for c in ("valid_to", "top", "of_url", "n_lists")}), entries
 
 
 def test_verdicts(spark):
