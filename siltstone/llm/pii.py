@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import texts
+from siltstone.llm.common import bound, texts
 
 ROUNDS = 8
 L, R = F.lit, F.regexp_replace
@@ -68,7 +68,10 @@ def default_mask(s: Column) -> Column:
 def string(s: Column, mask: Column, key: str, kind: str) -> Column:
     """A keyed permutation of the strings of one mask; 8 in a mask stands for the digits from 2."""
 
-    def moved(x: Column, m: Column, stream: Column) -> Column:
+    def moved(x: Column, m: Column, keyed: Column) -> Column:
+        return F.when(F.length(x) == 0, x).otherwise(bound(keyed, lambda stream: chars(x, m, stream)))
+
+    def chars(x: Column, m: Column, stream: Column) -> Column:
         def char(i: Column) -> Column:
             c, a = F.substring(x, i, L(1)), F.substring(m, i, L(1))
             base = F.when(a == "9", 48).when(a == "8", 50).when(a == "a", 97).when(a == "A", 65)
@@ -76,7 +79,7 @@ def string(s: Column, mask: Column, key: str, kind: str) -> Column:
             k = F.conv(F.substring(stream, (i - 1) % 64 * 2 + 1, L(2)), 16, 10).cast("int")
             return F.when(base.isNull(), c).otherwise(F.char(base + F.pmod(F.ascii(c) - base + k, size)))
 
-        return F.when(F.length(x) == 0, x).otherwise(F.array_join(F.transform(F.sequence(L(1), F.length(x)), char), ""))
+        return F.array_join(F.transform(F.sequence(L(1), F.length(x)), char), "")
 
     half = (F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, L(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"), F.substring(mask, L(1), half).alias("ma"), F.substring(mask, half + 1, F.length(s)).alias("mb"))
@@ -86,8 +89,7 @@ def string(s: Column, mask: Column, key: str, kind: str) -> Column:
         b = F.struct(t["a"].alias("a"), moved(t["b"], t["mb"], _stream(key, L(kind), i, t["a"])).alias("b"), t["ma"].alias("ma"), t["mb"].alias("mb"))
         return F.when(i % 2 == 0, a).otherwise(b)
 
-    out = F.aggregate(F.sequence(L(0), L(ROUNDS - 1)), start, turn)
-    return F.concat(out["a"], out["b"])
+    return bound(F.aggregate(F.sequence(L(0), L(ROUNDS - 1)), start, turn), lambda out: F.concat(out["a"], out["b"]))
 
 
 def _digits(s: Column) -> Column:
@@ -118,58 +120,72 @@ def mod97(account: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     body = F.substring(m, L(1), F.length(m) - 1)
-    new = string(body, default_mask(body), key, "card")
-    made = F.concat(new, ((10 - luhn_sum(_digits(new), 0) % 10) % 10).cast("string"))
+
+    def checked(new: Column) -> Column:
+        return F.concat(new, ((10 - luhn_sum(_digits(new), 0) % 10) % 10).cast("string"))
+
+    made = bound(string(body, default_mask(body), key, "card"), checked)
     return F.when(luhn_sum(_digits(m), 1) % 10 == 0, made)
 
 
 def _iban(m: Column, key: str) -> Column:
     rest = F.substring(m, L(5), F.length(m))
-    new = string(rest, default_mask(rest), key, "iban")
-    check = 98 - mod97(F.concat(F.substring(m, 1, 2), L("00"), F.replace(new, L(" "), L(""))))
-    return F.when(mod97(F.replace(m, L(" "), L(""))) == 1, F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), new))
+
+    def checked(new: Column) -> Column:
+        check = 98 - mod97(F.concat(F.substring(m, 1, 2), L("00"), F.replace(new, L(" "), L(""))))
+        return F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
+
+    return F.when(mod97(F.replace(m, L(" "), L(""))) == 1, bound(string(rest, default_mask(rest), key, "iban"), checked))
 
 
 def _ip(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    p = numbers(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-    made = F.concat_ws(".", *(F.floor(p[h] / 256) if i == 0 else p[h] % 256 for h in "ab" for i in (0, 1)))
-    return F.when(F.forall(o, lambda x: x <= 255), made)
+    def dotted(p: Column) -> Column:
+        return F.concat_ws(".", *(F.floor(p[h] / 256) if i == 0 else p[h] % 256 for h in "ab" for i in (0, 1)))
+
+    def made(o: Column) -> Column:
+        return F.when(F.forall(o, lambda x: x <= 255), bound(numbers(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip"), dotted))
+
+    return bound(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), made)
 
 
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, *p).cast("int") for p in ((1, 3), (5, 2), (8, 4)))
     # areas 001 to 899 without 666 are numbered from 0
     p = numbers((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
-    a = F.floor(p["a"] / 99) + 1
-    made = F.concat_ws("-", F.lpad((a + F.when(a >= 666, 1).otherwise(0)).cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
-    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), made)
+
+    def dashed(p: Column) -> Column:
+        a = F.floor(p["a"] / 99) + 1
+        return F.concat_ws("-", F.lpad((a + F.when(a >= 666, 1).otherwise(0)).cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
+
+    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), bound(p, dashed))
 
 
 def _date(m: Column, key: str) -> Column:
-    parts, mark = F.split(m, r"[./\-]"), F.regexp_extract(m, r"[./\-]", 0)
-    iso = F.length(parts[0]) == 4
+    mark = F.regexp_extract(m, r"[./\-]", 0)
 
     def day(y: Column, mo: Column, d: Column) -> Column:
         return F.datediff(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), L("yyyy-MM-dd")).cast("date"), L(FIRST_DAY).cast("date"))
 
-    dmy = day(parts[2], parts[1], parts[0])
-    n = F.when(iso, day(parts[0], parts[1], parts[2])).otherwise(F.coalesce(dmy, day(parts[2], parts[0], parts[1])))
-    p = numbers(F.floor(n / DATE_B), n % DATE_B, DATE_A, DATE_B, key, "date")
-    new = F.date_add(L(FIRST_DAY).cast("date"), (p["a"] * DATE_B + p["b"]).cast("int"))
-
     def part(x: Column, like: Column) -> Column:
-        text = x.cast("string")
-        return F.lpad(text, F.greatest(F.length(text), F.length(like)), L("0"))
+        return F.lpad(x.cast("string"), F.greatest(F.length(x.cast("string")), F.length(like)), L("0"))
+
+    def read(parts: Column) -> Column:
+        """Day and the order of the parts: year first, else day first if that is a date, else month first."""
+        dmy = F.struct(day(parts[2], parts[1], parts[0]).alias("n"), F.array(L(2), L(1), L(0)).alias("at"))
+        mdy = F.struct(day(parts[2], parts[0], parts[1]).alias("n"), F.array(L(2), L(0), L(1)).alias("at"))
+        iso = F.struct(day(parts[0], parts[1], parts[2]).alias("n"), F.array(L(0), L(1), L(2)).alias("at"))
+        return F.when(F.length(parts[0]) == 4, iso).otherwise(bound(dmy, lambda x: F.when(x["n"].isNotNull(), x).otherwise(mdy)))
+
+    def write(parts: Column, n: Column, at: Column) -> Column:
+        moved = bound(numbers(F.floor(n / DATE_B), n % DATE_B, DATE_A, DATE_B, key, "date"), lambda p: F.date_add(L(FIRST_DAY).cast("date"), (p["a"] * DATE_B + p["b"]).cast("int")))
+
+        def joined(new: Column) -> Column:
+            fields = F.array(*(part(f(new), F.get(parts, at[i])) for i, f in enumerate((F.year, F.month, F.dayofmonth))))
+            return F.array_join(F.transform(F.sequence(L(0), L(2)), lambda i: fields[(F.array_position(at, i) - 1).cast("int")]), "-")
 
-    def joined(a: Column, b: Column, c: Column) -> Column:
-        return F.concat(a, mark, b, mark, c)
+        return F.when((n >= 0) & (n < DATE_A * DATE_B), F.replace(bound(moved, joined), L("-"), mark))
 
-    y, mo, d = F.year(new), F.month(new), F.dayofmonth(new)
-    made = F.when(iso, joined(part(y, parts[0]), part(mo, parts[1]), part(d, parts[2])))
-    made = made.when(dmy.isNotNull(), joined(part(d, parts[0]), part(mo, parts[1]), part(y, parts[2])))
-    made = made.otherwise(joined(part(mo, parts[0]), part(d, parts[1]), part(y, parts[2])))
-    return F.when((n >= 0) & (n < DATE_A * DATE_B), made)
+    return bound(F.split(m, r"[./\-]"), lambda parts: bound(read(parts), lambda r: write(parts, r["n"], r["at"])))
 
 
 def _phone(m: Column, key: str) -> Column:
