@@ -10,6 +10,9 @@ halves: in each round every character of one half moves within its own alphabet
 made from the other half. Numbers with a fixed domain (addresses, dates, social security numbers) go
 through a network over Z_a x Z_b. Both can be undone round by round, hence are one to one.
 
+An account or card is the longest start of its candidate that is valid, so words and numbers behind it
+stay text and are scanned on their own.
+
 The text between the candidates is untouched and a text without candidates comes back as it is.
 Nulls: a null text stays null with no replacements. Empty, long and repeated texts need nothing special.
 Other columns of the input pass through.
@@ -39,6 +42,8 @@ CANDIDATES: list[tuple[str, str]] = [
     ("card", r"(?<![\d\p{L}])\d(?:[ \-]?\d){12,18}(?![\d\p{L}])"),
 ]
 PATTERN = "|".join(p for _, p in CANDIDATES)
+#: Set behind an account or card that ends before its greedy candidate does, while a text is scanned.
+CUT = "\ufdd0"
 #: Days from 1900-01-01 that dates are permuted among: 251 * 292, till 2100.
 DATE_A, DATE_B, FIRST_DAY = 251, 292, "1900-01-01"
 
@@ -229,21 +234,45 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.transform(F.array(out), lambda s: F.struct(F.when(s["new"].isNotNull(), s["kind"]).alias("kind"), F.coalesce(s["new"], m).alias("new")))[0]
 
 
+def _cut(text: Column, kind: str) -> Column:
+    """text with CUT behind the longest valid start of each candidate of the kind that is not valid as a whole."""
+    pattern = dict(CANDIDATES)[kind]
+
+    def valid(x: Column) -> Column:
+        return (mod97(F.replace(x, L(" "), L(""))) == 1) if kind == "iban" else (F.length(_digits(x)) >= 13) & (luhn_sum(_digits(x), 1) % 10 == 0)
+
+    def marked(m: Column) -> Column:
+        # starts end where a group does; the shortest has 15 characters of an account or 13 of a card
+        ends = F.filter(F.sequence(L(13), F.length(m)), lambda i: F.substring(m, i + 1, L(1)).isin("", " ", "-") & valid(F.substring(m, L(1), i)) & ((F.length(F.replace(F.substring(m, L(1), i), L(" "), L(""))) >= 15) if kind == "iban" else L(True)))
+        return bound(F.try_element_at(ends, L(-1)), lambda end: F.when(end < F.length(m), F.concat(F.substring(m, L(1), end), L(CUT), F.substring(m, end + 1, F.length(m)))).otherwise(m))
+
+    def rebuilt(all_of: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(text, pattern), F.transform(all_of, marked), lambda a, b: F.concat(a, F.coalesce(b, L("")))), "")
+        return F.when(F.size(all_of) > 0, joined).otherwise(text)
+
+    return F.when(F.rlike(text, L(pattern)), bound(F.regexp_extract_all(text, L(pattern), L(0)), rebuilt)).otherwise(text)
+
+
 #: Added to the input's columns by `found`.
 FOUND = "__pii_found"
+#: The text as it is scanned.
+SCANNED = "__pii_scanned"
 
 
 def found(docs: DataFrame, key: str) -> DataFrame:
-    """docs with FOUND: an array of structs (kind, new), one for each candidate of the text, in order."""
+    """docs with SCANNED and FOUND: an array of structs (kind, new), one for each candidate of the text, in order."""
     text = F.col("text")
+    # a text that has the mark itself is scanned as it is
+    scanned = F.when(F.contains(text, L(CUT)), text).otherwise(bound(_cut(text, "iban"), lambda x: _cut(x, "card")))
+    text = F.col(SCANNED)
     all_of = F.when(F.rlike(text, L("[0-9@]|[=:]")), F.regexp_extract_all(text, L(PATTERN), L(0)))
-    return docs.withColumn(FOUND, F.transform(all_of, lambda m: pseudonym(m, key)))
+    return docs.withColumn(SCANNED, scanned).withColumn(FOUND, F.transform(all_of, lambda m: pseudonym(m, key)))
 
 
 def _rebuilt() -> Column:
-    text, new = F.col("text"), F.transform(F.col(FOUND), lambda x: x["new"])
+    text, new = F.col(SCANNED), F.transform(F.col(FOUND), lambda x: x["new"])
     joined = F.array_join(F.zip_with(F.split(text, PATTERN), new, lambda a, b: F.concat(a, F.coalesce(b, L("")))), "")
-    return F.when(F.size(FOUND) > 0, joined).otherwise(text)
+    return F.when(F.size(FOUND) > 0, F.when(F.contains(F.col("text"), L(CUT)), joined).otherwise(F.replace(joined, L(CUT), L("")))).otherwise(F.col("text"))
 
 
 def pseudonymised(docs: DataFrame, key: str = "demonstration key") -> DataFrame:

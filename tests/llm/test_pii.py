@@ -59,3 +59,18 @@ def test_texts(spark):
 
 def test_empty(spark):
     assert pii.pseudonymised(documents(spark, [])).count() == 0
+
+
+def test_accounts_and_cards_with_neighbours(spark):
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    tails = [" 12/27", " 123", " 425-555-9684", " 1234"]
+    rows = [(i, f"pay {c}{t} now") for i, (c, t) in enumerate((c, t) for c in (card, card.replace(" ", "")) for t in tails)]
+    rows += [(20 + i, f"to {a}{t}.") for i, (a, t) in enumerate((a, t) for a in (iban, "DE89 3704 0044 0532 0130 00") for t in (" BIC COBADEFF", " 00 EUR 500", " 100 EUR", f" {card} 123"))]
+    rows += [(40, f"{iban} alone, {card}"), (41, f"{iban} BIC \ufdd0 {card}")]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(documents(spark, rows), KEY).collect()}
+    for d, t in rows[:-1]:
+        for value in (card, card.replace(" ", ""), iban, "DE89 3704 0044 0532 0130 00", "425-555-9684"):
+            assert value not in got[d], (t, got[d])
+        assert len(t) == len(got[d]) and "\ufdd0" not in got[d]
+    assert all(got[d].endswith(t) for d, t in ((0, " 12/27 now"), (1, " 123 now"), (20, " BIC COBADEFF."), (21, " 00 EUR 500."), (22, " 100 EUR.")))
+    assert iban not in got[40] and got[40][:22] == got[20][3:25] and got[41].count("\ufdd0") == 1 and card not in got[41]
