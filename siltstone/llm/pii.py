@@ -13,6 +13,8 @@ through a network over Z_a x Z_b. Both can be undone round by round, hence are o
 An account or card is the longest start of its candidate that is valid, so words and numbers behind it
 stay text and are scanned on their own.
 
+A secret runs to its last character that is no dot, whatever its length; dots at its end are the sentence's.
+
 The text between the candidates is untouched and a text without candidates comes back as it is.
 Nulls: a null text stays null with no replacements. Empty, long and repeated texts need nothing special.
 Other columns of the input pass through.
@@ -33,7 +35,7 @@ L, R = F.lit, F.regexp_replace
 #: Patterns of candidates by kind, in the order in which they are tried at a place.
 CANDIDATES: list[tuple[str, str]] = [
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=\-]{8,128}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=\-][A-Za-z0-9_+/=.\-]{6,}[A-Za-z0-9_+/=\-]|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("date", r"(?<![\d./\-])(?:\d{4}([./\-])\d{1,2}\1\d{1,2}|\d{1,2}([./\-])\d{1,2}\2\d{4})(?![./\-]?\d)"),

@@ -74,3 +74,14 @@ def test_accounts_and_cards_with_neighbours(spark):
         assert len(t) == len(got[d]) and "\ufdd0" not in got[d]
     assert all(got[d].endswith(t) for d, t in ((0, " 12/27 now"), (1, " 123 now"), (20, " BIC COBADEFF."), (21, " 00 EUR 500."), (22, " 100 EUR.")))
     assert iban not in got[40] and got[40][:22] == got[20][3:25] and got[41].count("\ufdd0") == 1 and card not in got[41]
+
+
+def test_secrets_to_their_end(spark):
+    long = "".join("abcdefghij0123456789"[i * i % 17 % 20] for i in range(200))
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    rows = [(1, f"token={long} end"), (2, f"token: {jwt}. End"), (3, "password=abcd1234. Next"), (4, "password=abcd1234"), (5, "token=" + long * 100), (6, "secret: short7.")]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(documents(spark, rows), KEY).collect()}
+    assert got[1].endswith(" end") and long[128:] not in got[1] and len(got[1]) == len(rows[0][1])
+    assert got[2].endswith(". End") and not [x for x in jwt.split(".") if x in got[2]]
+    assert got[3] == got[4] + ". Next" and got[4] != rows[3][1]
+    assert got[5][-200:] != long and len(got[5]) == len(rows[4][1]) and got[6] == rows[5][1]
