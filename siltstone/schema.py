@@ -26,7 +26,6 @@ COPY, LITERAL = 0, 1
 BLOCK = 4096
 MOST_LITERAL = 65535
 MOST_DELTA_OLD = 128 << 20
-MOST_ENTRIES = 1_000_000
 MOST_ENTRY_READ = (1 << 31) - 1
 MOST_PATH = 1023
 IGNORE_FILE = ".pafignore"

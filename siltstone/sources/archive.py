@@ -132,8 +132,6 @@ def read_header(file: str) -> tuple[int, int, int, int, int]:
     magic, *rest = struct.unpack(S.HEADER, raw)
     if magic != S.ARCHIVE_MAGIC:
         raise ValueError(f"{file} is not an archive")
-    if rest[2] > S.MOST_ENTRIES:
-        raise ValueError(f"{file} says it has {rest[2]} entries; at most {S.MOST_ENTRIES} are read")
     return tuple(rest)
 
 
@@ -159,11 +157,13 @@ class ArchiveReader(DataSourceReader):
         self.file, self.view = file, view
 
     def partitions(self) -> list[InputPartition]:
-        _, flags, count, _, _ = read_header(self.file)
+        _, flags, count, index_at, _ = read_header(self.file)
         if self.view == "files" and flags & S.FLAG_INDEX_ONLY:
             raise ValueError(f"{self.file} has no data, only an index")
         if self.view == "header":
             return [InputPartition(None)]
+        if os.path.getsize(self.file) < index_at + count * S.ENTRY_BYTES:
+            raise ValueError(f"{self.file} ends within its index")
         step = FILES_A_TASK if self.view == "files" else 16 * FILES_A_TASK
         return [Files([i, min(count, i + step)]) for i in range(0, count, step)] or [Files([0, 0])]
 
