@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.staging import shared_dir, shared_path, staged
 
-__all__ = ["WORD", "bound", "shared_dir", "shared_path", "staged", "table", "texts", "uniform", "word_count"]
+__all__ = ["WORD", "bound", "joined", "shared_dir", "shared_path", "staged", "table", "texts", "uniform", "word_count"]
 
 #: A word: a run of code points other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +37,21 @@ def uniform(seed: int, doc_id: Column, text: Column) -> Column:
 def bound(x: Column, f) -> Column:
     """f of x, with x computed once for each row though f names it more often or in inner functions."""
     return F.transform(F.array(x), f)[0]
+
+
+#: Most keys that `joined` treats as heavy, and fewest rows of one.
+MOST_HEAVY, LEAST_HEAVY = 1 << 16, 1 << 12
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with the facts of their key; facts holds each key once, with the number n of its rows among all `total`.
+
+    Keys of more than total / MOST_HEAVY rows are at most MOST_HEAVY, so their facts can be broadcast and
+    no task gets all rows of one. The rest is dealt by key.
+    """
+    if total <= LEAST_HEAVY:
+        return rows.join(facts, key)
+    heavy = F.col(n) > max(total // MOST_HEAVY, LEAST_HEAVY)
+    few = facts.where(heavy)
+    light = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~heavy), key)
+    return rows.join(F.broadcast(few), key).unionByName(light)

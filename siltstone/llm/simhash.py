@@ -1,16 +1,19 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within the radius r of each other lie both within r/2 of some value between them.
-So every distinct fingerprint emits all values (variants) within half the radius, 2081 for r = 4; the
-variants are dealt by a one-to-one mixing of their bits, and fingerprints that emitted one variant
-are linked, after a check of their distance. No link is lost, and none needs all pairs of
-a group: those that share a variant are chained.
-
-A variant travels as eight bytes. The mixing's upper bits name the bucket and are not repeated;
-the rest and the number of the flipped bits fit in 64 bits and give back variant and
-owner exactly. Blocks of buckets go one after the other, so the disk holds one block's shuffle at a
-time. Equal fingerprints are gathered before that, and each task reports a spanning forest
-of its links. Components come from alternating star contractions over written tables.
+Two fingerprints within the even radius r of each other lie both within r/2 of some value between them.
+So every distinct fingerprint emits all values (variants) within half the radius, 2081 for r = 4; equal
+variants meet by a shuffle, and their owners are linked, after a check of their distance.
+No link is lost, and none needs all pairs of a group: those that share a variant are chained.
+
+The variants are dealt in passes, by parities of their bits: the parities of a variant are those of its owner
+and of its flipped bits, so a pass makes only its own variants. The first pass is small. What it links is
+contracted to classes, and so again after the second; each later entry carries its owner's class, and
+owners of one class make no more links. So a dense group, which would be linked anew in every bucket, is linked once.
+
+An entry is sixteen bytes. The bucket names the upper bits of the mixed variant; the rest and the number
+of the flipped bits fit in 64 bits and give back variant and owner exactly; the other eight are the class. The disk
+holds one pass's shuffle at a time. Components come from alternating star contractions over written tables; hubs
+of many links are joined by a broadcast of bounded size.
 
 Nulls: a null text counts as empty, with fingerprint zero. A null doc_id never names a
 component that has another document; a component of null doc_ids alone has a null name. Repeated rows
@@ -29,14 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import shared_path, staged, texts
+from siltstone.llm.common import joined, shared_path, staged, texts
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: An odd factor mixes 64 bits one to one; its inverse undoes it.
 MIX = 0x9E3779B97F4A7C15
 UNMIX = pow(MIX, -1, 1 << 64)
-#: Bits for the number of a flip set.
-FLIP_BITS = 12
+#: Parities that deal the variants, and the passes over their values: a small one, seven times as much, then eighths.
+PARITIES = np.random.default_rng(11).integers(1, 1 << 63, 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+PASSES = [range(1), range(1, 8), *(range(at, at + 8) for at in range(8, 64, 8))]
+#: Passes after which the links so far are contracted.
+CONTRACTED = 2
 #: Links that a task holds before it reports them.
 HELD = 1 << 19
 
@@ -70,33 +76,50 @@ def _fingerprints(width: int):
 
 def flips(radius: int) -> np.ndarray:
     """All sets of at most half the radius bits, as masks."""
+    if radius % 2:
+        raise ValueError("the radius has to be even")
     return np.array([sum(1 << b for b in c) for k in range(radius // 2 + 1) for c in combinations(range(64), k)], np.uint64)
 
 
-def _emit(radius: int, bucket_bits: int, block_bits: int, block: int, chunk: int = 512):
+def parities(x: np.ndarray) -> np.ndarray:
+    """Six bits of each value, those of a ^ b being the parities of a and of b, combined by ^."""
+    return sum((np.bitwise_count(x & p) & np.uint8(1)).astype(np.int64) << i for i, p in enumerate(PARITIES))
+
+
+def _emit(radius: int, bucket_bits: int, passing: range, most: int = 1 << 19):
+    """(fp, root) -> (bucket, entries, roots): the variants of a pass, those of a bucket side by side."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, low = flips(radius), bucket_bits - block_bits
-        numbers = np.arange(len(masks), dtype=np.uint64)
+        masks = flips(radius)
+        flip_bits, deal = len(masks).bit_length(), parities(masks)
+        numbers = [np.flatnonzero(deal == i).astype(np.uint64) for i in range(64)]
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def sent() -> pa.RecordBatch:
+            bucket, entry, root = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(bucket.astype(np.uint16) if bucket_bits <= 16 else bucket, kind="stable")
+            bucket, entry, root = bucket[order], entry[order], root[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            parts = [pa.array([x.tobytes() for x in np.split(y, cuts)], pa.binary()) for y in (entry, root)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])].astype(np.int64)), *parts], names=["bucket", "entries", "roots"])
+
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            held = []
-            for at in range(0, len(fps), chunk):
-                h = (fps[at : at + chunk, None] ^ masks) * np.uint64(MIX)
-                ours = (h >> np.uint64(64 - block_bits)) == np.uint64(block) if block_bits else np.ones(h.shape, bool)
-                h, number = h[ours], np.broadcast_to(numbers, ours.shape)[ours]
-                entry = (h << np.uint64(bucket_bits)) >> np.uint64(bucket_bits) << np.uint64(FLIP_BITS) | number
-                held.append((h >> np.uint64(64 - bucket_bits) & np.uint64((1 << low) - 1), entry))
-                if sum(len(e) for _, e in held) >= 1 << 20 or at + chunk >= len(fps):
-                    bucket = np.concatenate([b for b, _ in held])
-                    order = np.argsort(bucket.astype(np.uint16) if low <= 16 else bucket, kind="stable")
-                    entry, bucket = np.concatenate([e for _, e in held])[order], bucket[order]
-                    cuts = np.flatnonzero(np.diff(bucket)) + 1
-                    first = np.concatenate([[0], cuts])
-                    names = (bucket[first] | np.uint64(block << low)).astype(np.int64)
-                    parts = [e.tobytes() for e in np.split(entry, cuts)] if len(entry) else []
-                    held = []
-                    if parts:
-                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts, pa.binary())], names=["bucket", "entries"])
+            fps, roots = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)
+            of = parities(fps)
+            for p in range(64):
+                ours = np.flatnonzero(of == p)
+                number = np.concatenate([numbers[p ^ x] for x in passing])
+                step = max(1, most // max(1, len(number)))
+                for at in range(0, len(ours), step):
+                    rows = ours[at : at + step]
+                    h = ((fps[rows][:, None] ^ masks[number.astype(np.int64)]) * np.uint64(MIX)).ravel()
+                    entry = (h << np.uint64(bucket_bits)) >> np.uint64(bucket_bits) << np.uint64(flip_bits) | np.tile(number, len(rows))
+                    held.append((h >> np.uint64(64 - bucket_bits), entry, np.repeat(roots[rows], len(number))))
+                    if sum(len(x[0]) for x in held) >= most:
+                        yield sent()
+        if held and sum(len(x[0]) for x in held):
+            yield sent()
 
     return run
 
@@ -128,33 +151,38 @@ class Forest:
         return [x for x, _ in pairs], [r for _, r in pairs]
 
 
+def _report(forest: Forest) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
+
+
 def _links(radius: int, bucket_bits: int):
+    """Entries sorted by bucket -> a forest of the classes that share variants."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, forest = flips(radius), Forest()
-
-        def report() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
-
-        rows = ((k, e) for batch in batches for k, e in zip(batch.column(0).to_pylist(), batch.column(1)))
+        flip_bits = np.uint64(len(masks).bit_length())
+        rows = ((k, e, r) for batch in batches for k, e, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)))
         for bucket, group in groupby(rows, lambda r: r[0]):
-            e = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for _, x in group]))
-            same = np.flatnonzero((e[1:] ^ e[:-1]) >> np.uint64(FLIP_BITS) == 0)
+            parts = [(x.as_buffer(), y.as_buffer()) for _, x, y in group]
+            e, roots = (np.concatenate([np.frombuffer(p[i], np.uint64) for p in parts]) for i in (0, 1))
+            order = np.argsort(e)
+            e, roots = e[order], roots[order]
+            same = np.flatnonzero(((e[1:] ^ e[:-1]) >> flip_bits == 0) & (roots[1:] != roots[:-1]))
             if not len(same):
                 continue
 
             def owner(x: np.ndarray, bucket: int = bucket) -> np.ndarray:
-                mixed = np.uint64((bucket << (64 - bucket_bits)) & (2**64 - 1)) | x >> np.uint64(FLIP_BITS)
-                return mixed * np.uint64(UNMIX) ^ masks[x & np.uint64((1 << FLIP_BITS) - 1)]
+                mixed = np.uint64((bucket << (64 - bucket_bits)) & (2**64 - 1)) | x >> flip_bits
+                return mixed * np.uint64(UNMIX) ^ masks[x & (np.uint64(1) << flip_bits) - np.uint64(1)]
 
-            a, b = owner(e[same]), owner(e[same + 1])
-            close = np.bitwise_count(a ^ b) <= radius
-            pairs = np.unique(np.stack([a[close], b[close]], 1), axis=0).view(np.int64)
+            close = np.bitwise_count(owner(e[same]) ^ owner(e[same + 1])) <= radius
+            pairs = np.unique(np.stack([roots[same][close], roots[same + 1][close]], 1), axis=0).view(np.int64)
             for x, y in pairs.tolist():
                 forest.link(x, y)
             if len(forest.up) >= HELD:
-                yield report()
+                yield _report(forest)
                 forest = Forest()
-        yield report()
+        yield _report(forest)
 
     return run
 
@@ -171,30 +199,29 @@ def _shuffles_dropped(spark):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def close_pairs(fps: DataFrame, radius: int = 4, block_bits: int = 3, bucket_rows: int = 1 << 20) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links within the radius."""
-    spark, path = fps.sparkSession, shared_path(fps.sparkSession, "simhash-links")
-    n = fps.count()
-    variants = n * len(flips(radius))
-    bucket_bits = min(40, max(FLIP_BITS, (variants // bucket_rows).bit_length()))
-    with _shuffles_dropped(spark):
-        for block in range(1 << block_bits):
-            dealt = fps.select("fp").repartition(-(-n // 8192) or 1, "fp").mapInArrow(_emit(radius, bucket_bits, block_bits, block), "bucket long, entries binary")
-            dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius, bucket_bits), "a long, b long").write.mode("append").parquet(path)
-    # each task reported links of its own; those of a node meet here and become trees again
-    links = spark.read.schema("a long, b long").parquet(path)
-    return staged(links.repartition("a").mapInArrow(_trees, "a long, b long"), "simhash-trees")
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest()
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            forest.link(a, b)
-        if len(forest.up) >= HELD:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
-            forest = Forest()
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
+def close_classes(fps: DataFrame, radius: int = 4, bucket_rows: int = 1 << 20) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, root): the least of all that are linked, step by step, within the radius."""
+    spark, n = fps.sparkSession, fps.count()
+    masks = flips(radius)
+    named = fps.select("fp", F.col("fp").alias("root"))
+    todo = [PASSES[:1], *(PASSES[i : i + 1] for i in range(1, CONTRACTED)), PASSES[CONTRACTED:]]
+    for passes in todo:
+        path = shared_path(spark, "simhash-links")
+        with _shuffles_dropped(spark):
+            for passing in passes:
+                variants = n * len(masks) * len(passing) // 64
+                bits = min(40, max(len(masks).bit_length(), (variants // bucket_rows).bit_length()))
+                dealt = named.repartition(-(-n // 8192) or 1, "fp").mapInArrow(_emit(radius, bits, passing), "bucket long, entries binary, roots binary")
+                dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius, bits), "a long, b long").write.mode("append").parquet(path)
+        named = _contracted(named, components(spark.read.schema("a long, b long").parquet(path)), n)
+    return named
+
+
+def _contracted(named: DataFrame, stars: DataFrame, n: int) -> DataFrame:
+    """(fp, root) with the roots of stars (node, root) in place of their nodes."""
+    sizes = named.groupBy("root").agg(F.count("*").alias("n"))
+    facts = sizes.join(stars.select(F.col("node").alias("of"), F.col("root").alias("to")), F.col("root") == F.col("of"), "left").select("root", "n", F.coalesce("to", "root").alias("to"))
+    return staged(joined(named, facts, "root", "n", n).select("fp", F.col("to").alias("root")), "simhash-named")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,36 +229,37 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars alternate until nothing changes; each round is a written table.
     """
-    now, seen = staged(_stars(edges.where("a <> b")), "components"), None
+    now, seen = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components"), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        now = staged(_stars(now), "components")
+        now = staged(_stars(now, mark[0]), "components")
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, n: int) -> DataFrame:
     # large: each node's larger neighbours go to its least neighbour (or itself)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.col("k")).alias("m"))
-    large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    large = joined(both, least, "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     # small: each node and its smaller neighbours go to the least of them
-    low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-    moved = large.join(low, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = joined(large, low, "a", "n", 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """documents -> (doc_id, fp, component_id)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = staged(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "simhash-prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
-    stars = components(close_pairs(distinct, radius))
-    member = distinct.join(stars, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), "first_doc", F.coalesce("root", "fp").alias("root"))
-    names = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = member.join(names, "root").select("of_fp", "component_id")
-    return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "simhash-distinct")
+    named = close_classes(distinct, radius)
+    n_prints, n_docs = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    member = distinct.join(named, "fp")
+    names = member.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n_prints"))
+    facts = joined(member.select("fp", "root", "n"), names, "root", "n_prints", n_prints).select("fp", "component_id", "n")
+    return joined(prints, staged(facts, "simhash-classes"), "fp", "n", n_docs).select("doc_id", "fp", "component_id")
 
 
 def kept_ones(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:

@@ -55,8 +55,8 @@ def test_components_equal_brute_force(spark):
     values = list(dict.fromkeys(values))
     signed = [int(np.uint64(v).astype(np.int64)) for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    stars = {r.node: r.root for r in simhash.components(simhash.close_pairs(fps, bucket_rows=1 << 12)).collect()}
-    got = [stars.get(v, v) for v in signed]
+    stars = {r.fp: r.root for r in simhash.close_classes(fps, bucket_rows=1 << 12).collect()}
+    got = [stars[v] for v in signed]
     want = reach(values)
     groups = {}
     for g, w in zip(got, want):
@@ -70,6 +70,19 @@ def test_chain_and_star_components(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 1000 for i in range(1001, 1200)}}
 
 
+def test_hubs(spark):
+    edges = [(0, i) for i in range(1, 6001)] + [(7000, i) for i in range(5990, 6001)] + [(9000, i) for i in range(9001, 14500)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 6001), 7000]}, **{i: 9000 for i in range(9001, 14500)}}
+
+
+def test_parities_deal_every_variant_once():
+    masks = simhash.flips(4)
+    x = np.uint64(0x0123456789ABCDEF)
+    assert (simhash.parities(masks ^ x) == simhash.parities(masks) ^ simhash.parities(np.array([x]))).all()
+    assert sorted(i for p in simhash.PASSES for i in p) == list(range(64))
+
+
 def test_classes_on_hard_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [*enumerate(texts()), (100, base), (101, base), (102, base.replace("w399", "other")), (None, base), (None, "alone one"), (7, base[::-1]), (7, base[::-1])]
