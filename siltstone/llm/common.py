@@ -1,4 +1,4 @@
-"""What the operators share: reading a table, written tables, words, a keyed uniform draw."""
+"""What the operators share: reading a table, written tables, words, joins by hot keys."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.staging import shared_dir, shared_path, staged
 
-__all__ = ["WORD", "bound", "joined", "shared_dir", "shared_path", "staged", "table", "texts", "uniform", "word_count"]
+__all__ = ["WORD", "bound", "joined", "range_count", "range_count", "shared_dir", "shared_path", "staged", "table", "texts", "word_count"]
 
 #: A word: a run of code points other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,12 +28,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, doc_id: Column, text: Column) -> Column:
-    """A draw from [0, 1) that depends on the seed, the doc_id and the text alone; 52 bits of an MD5 sum."""
-    named = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
-    return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
-
-
 def bound(x: Column, f) -> Column:
     """f of x, with x computed once for each row though f names it more often or in inner functions."""
     return F.transform(F.array(x), f)[0]
@@ -55,3 +49,8 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> D
     few = facts.where(heavy)
     light = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~heavy), key)
     return rows.join(F.broadcast(few), key).unionByName(light)
+
+
+def range_count(size: int, least: int = 4 << 20, most: int = 512 << 20) -> int:
+    """Number of ranges for so many bytes of text: each has `least` bytes, from 4096 ranges on more, up to `most`."""
+    return max(1, min(4096, size // least), size // most)

@@ -1,19 +1,23 @@
 r"""Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is read as units: up to four characters without a blank, with the blanks after them (or blanks
-at its start). Units are hashed, then every run of k units (at the edges also the shorter runs), and of
-every window of w such grams the least hash is kept, the rightmost of equal ones; windows grow and
-shrink at the edges, so a short text keeps its first and last gram. Each kept gram has its hash and its
-place; any run of w + k - 1 units that two texts share within words that start alike is
-found in both. The likeness of two fingerprints is the share of common hashes among all of theirs.
-
-Texts are dealt once, by ranges of doc_id, for the document that follows each: within a range it is the next row; a range's last row finds its successor in
-a copy of the next range's first document, which is sent along. Null doc_ids come last, rows of equal
+Every run of k code points of a text is a gram. Grams are hashed by a cyclic polynomial, the rolling hash of xor
+and rotation: that of 2m code points is that of the first m, rotated by m, xor that of the next m, so all grams' hashes come
+from as many passes over the text as k has bits. Of every window of w grams the least hash (by its upper 32 bits) is kept, the
+rightmost of equal ones; windows grow and shrink at the edges, so a text keeps its first and last gram. Window minima
+double in the same way. Each kept gram has its hash and its place, the number of code points before it.
+Any run of w + k - 1 code points that two texts share, wherever it lies in them, has a common hash. A text shorter
+than a gram is one gram. The likeness of two fingerprints is the share of common hashes among all of theirs.
+
+An edited text keeps the windows of its unchanged start; only those that reach into the new end are made anew.
+
+Texts are dealt once, by ranges of doc_id, for the document that follows each: within a range it is the next row; a range's last
+row finds its successor in a copy of the next range's first document, which is sent along. The number of ranges follows the
+bytes of the texts, without a cap. Null doc_ids come last, in ranges of the hash of their text; rows of equal
 doc_id are ordered by a hash of their text, and the last document is followed by the first.
 
 Nulls: a null text counts as empty; an empty text has an empty fingerprint, which is like another
 empty one (1) and unlike any other (0). Repeated rows each keep their row. An empty table gives no
-rows. Only doc_id and text are read. Places are kept by 24 bits: from 16.7 million units they start anew.
+rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,47 +25,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bound, table
+from siltstone.llm.common import bound, range_count, table
 
-K, W = 5, 16
-UNIT = r"\S{1,4}\s*|\s+"
-PLACE_BITS = 24
-MOST_RANGES = 4096
+#: Code points of a gram (a power of two), grams of a window.
+K, W = 16, 32
+#: Bits of a place: a text has fewer bytes than that.
+PLACE_BITS = 31
+LAST = (1 << PLACE_BITS) - 1
+#: Bits of a hash that a fingerprint shows.
+SHOWN_BITS = 48
+NONE = "array<long>"
 
 
-def kept_grams(text: Column, k: int = K, w: int = W) -> Column:
-    """The kept grams as longs, 39 bits of hash above 24 bits of place, which falls with the place."""
-    top, last = (1 << 39) - 1, (1 << PLACE_BITS) - 1
-    units = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+def _rolled(m: int):
+    """The hash of two runs, one behind the other, of m code points each."""
+    return lambda a, b: F.shiftleft(a, m).bitwiseOR(F.shiftrightunsigned(a, 64 - m)).bitwiseXOR(b)
 
-    def gram(u: Column, i: Column) -> Column:
-        h = F.xxhash64(*(F.get(u, i + j) for j in range(k))).bitwiseAND(F.lit(top))
-        return F.shiftleft(h, PLACE_BITS).bitwiseOR((F.lit(last) - (i + (k - 1))).cast("long").bitwiseAND(F.lit(last)))
 
-    def grams(u: Column) -> Column:
-        return F.when(F.size(u) > 0, F.transform(F.sequence(F.lit(1 - k), F.size(u) - 1), lambda i: gram(u, i))).otherwise(F.array().cast("array<long>"))
+def _pairs(of: Column, m: int, f) -> Column:
+    """f of all elements and those m behind."""
 
-    def least(width: int, step: int):
-        return lambda a: F.transform(a, lambda x, i: F.least(x, *(F.get(a, i + j) for j in range(step, width, step))))
+    def paired(a: Column) -> Column:
+        n = F.size(a) - m
+        return F.when(n > 0, F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(m + 1), n), f)).otherwise(F.array().cast(NONE))
 
-    # windows before the first gram's: the grams come after w - 1 nulls
-    def windows(g: Column) -> Column:
-        return F.when(F.size(g) > 0, F.concat(F.array_repeat(F.lit(None).cast("long"), w - 1), g)).otherwise(g)
+    return bound(of, paired)
 
-    out = units
-    for step in (grams, windows, least(4, 1), least(w, 4)):
-        out = bound(out, step)
-    return F.array_distinct(out)
+
+def grams(text: Column, k: int = K) -> Column:
+    """The hashes of all grams of a text, by place."""
+    out, m = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
+    while m < k:
+        out = _pairs(out, m, _rolled(m))
+        m *= 2
+    alone = F.when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast(NONE))
+    return F.when(F.length(text) >= k, out).otherwise(alone)
+
+
+def minima(hashes: Column, growing: Column, w: int = W) -> Column:
+    """The least of each window as 32 bits of hash above the place, which falls; windows shrink at the end and, if growing, grow at the start."""
+    missing = F.array_repeat(F.lit(None).cast("long"), w - 1)
+    keys = F.transform(hashes, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 32), PLACE_BITS).bitwiseOR((F.lit(LAST) - i).cast("long")))
+    out, m = F.concat(F.when(growing, missing).otherwise(F.array().cast(NONE)), keys, missing), 1
+    while m < w:
+        step = min(m, w - m)
+        out = _pairs(out, step, lambda x, y: F.least(x, y))
+        m += step
+    return F.when(F.size(hashes) > 0, out).otherwise(F.array().cast(NONE))
+
+
+def place(key: Column) -> Column:
+    return (F.lit(LAST).cast("long") - key.bitwiseAND(F.lit(LAST))).cast("int")
+
+
+def _kept(keys: Column, hash_at) -> Column:
+    """Distinct keys -> the grams kept: (hash, place)."""
+    shown = F.lit((1 << SHOWN_BITS) - 1)
+    return F.transform(keys, lambda x: F.struct(hash_at(place(x)).bitwiseAND(shown).alias("hash"), place(x).alias("place")))
+
+
+def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
+    """The kept grams of a text."""
+    return bound(grams(text, k), lambda g: _kept(F.array_distinct(minima(g, F.lit(True), w)), lambda at: F.get(g, at)))
 
 
 def hashes(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, PLACE_BITS)))
+    return F.array_distinct(F.transform(kept, lambda x: x["hash"]))
 
 
 def as_text(kept: Column) -> Column:
     """hash.place hash.place ..., hexadecimal."""
-    last = (1 << PLACE_BITS) - 1
-    return F.lower(F.array_join(F.transform(kept, lambda x: F.concat(F.hex(F.shiftright(x, PLACE_BITS)), F.lit("."), F.hex(F.lit(last) - x.bitwiseAND(F.lit(last))))), " "))
+    return F.lower(F.array_join(F.transform(kept, lambda x: F.concat(F.hex(x["hash"]), F.lit("."), F.hex(x["place"]))), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,62 +105,73 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds below a doc_id, by halving; null doc_ids go last."""
-    if not bounds:
-        return F.lit(0)
-    held = F.lit(bounds)
-    between = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+def _range_of(doc_id: Column, h: Column, starts: list[int], null_bits: int) -> Column:
+    """Number of the range: that of the last start which is not above the doc_id, by halving; null doc_ids go behind, by hash."""
+    held = F.lit(starts or [0])
+    between = F.struct(F.lit(0).alias("lo"), F.lit(len(starts)).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(held, mid) < doc_id
-        return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+        before = F.get(held, mid) <= doc_id
+        return F.when(s["lo"] >= s["hi"], s).when(before, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), between, halve)["lo"]
-    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(found)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(starts).bit_length() + 1)), between, halve)["lo"]
+    of_null = F.shiftright(h, 64 - null_bits) + (1 << (null_bits - 1)) if null_bits else F.lit(0)
+    return F.when(doc_id.isNull(), F.lit(len(starts) + 1).cast("long") + of_null).otherwise(found.cast("long"))
 
 
-def with_next(docs: DataFrame, rows_a_range: int = 2048) -> tuple[DataFrame, object]:
-    """(doc_id, text, next_text, ...) of every row, and the window that orders each range.
+def with_next(docs: DataFrame, range_bytes: int = 4 << 20, most_range_bytes: int = 512 << 20) -> DataFrame:
+    """(doc_id, text, range, guest, h, next_text) of every row, and of guests: the rows of other ranges sent along.
 
-    The driver holds at most MOST_RANGES bounds and first doc_ids, whatever the input's size.
+    Ranges have range_bytes of text, from 4096 of them on more, up to most_range_bytes. The driver holds the
+    start and the first row of each range, some 40 bytes for at least most_range_bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = min(MOST_RANGES, -(-n // rows_a_range)) or 1
-    bounds: list[int] = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", F.lit(shares), F.lit(max(10_000, 16 * ranges)))).first()[0] or []))
-    ranged = rows.withColumn("range", _range_of(F.col("doc_id"), bounds))
-    firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("first")).collect())
-    guests = None
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    n, n_null, size = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    ranges = range_count(size, range_bytes, most_range_bytes)
+    starts: list[int] = []
+    if ranges > 1 and n > n_null:
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+        starts = sorted(r[0] for r in ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())
+    null_bits = (n_null * ranges // max(n, 1)).bit_length() if ranges > 1 else 0
+    ranged = rows.withColumn("range", _range_of(F.col("doc_id"), F.col("h"), starts, null_bits))
+    order = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "h")
+    firsts = sorted((r["range"], r["first"]["doc_id"], r["first"]["h"]) for r in ranged.groupBy("range").agg(F.min(order).alias("first")).collect()) if n else []
+    every = ranged.withColumn("guest", F.lit(False))
     if firsts:
         # the first rows of each range go along with the range before; those of the first with the last
-        spark, sent = docs.sparkSession, [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
-        first = F.broadcast(spark.createDataFrame(sent, "first_id long, to_range int"))
-        guests = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("to_range").alias("range"), F.lit(True).alias("guest"))
-    every = ranged.select("doc_id", "text", "range", F.lit(False).alias("guest"))
-    every = every.unionByName(guests) if guests is not None else every
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return every.withColumn("next_text", F.lead("text").over(order)), order
-
-
-def edited(text: Column, following: Column) -> Column:
-    """The last quarter of the characters replaced by as many of the next text, or all it has."""
-    n = F.length(text)
-    q = F.floor(n / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - q), F.substring(following, F.lit(1), q))
-
-
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    rows, order = with_next(docs)
-    rows = rows.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    rows = rows.select("doc_id", "range", "guest", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), F.sha2("edited", 256).alias("edited_sha256"), kept_grams(F.col("text")).alias("own"), F.when(~F.col("guest"), kept_grams(F.col("edited"))).alias("other"))
-    rows = rows.withColumn("own_set", hashes(F.col("own"))).withColumn("other_set", hashes(F.col("other")))
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_last(), "h")
-    return rows.withColumn("next_set", F.lead("own_set").over(order)).where("not guest")
+        sent = [(doc_id, h, firsts[i - 1][0]) for i, (_, doc_id, h) in enumerate(firsts)]
+        first = F.broadcast(docs.sparkSession.createDataFrame(sent, "first_id long, first_h long, to_range long"))
+        guests = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+        every = every.unionByName(guests.select("doc_id", "text", "h", F.col("to_range").alias("range"), F.lit(True).alias("guest")))
+    return every.withColumn("next_text", F.lead("text").over(_order()))
+
+
+def _order():
+    return Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_last(), "h")
+
+
+def fingerprinted(docs: DataFrame, k: int = K, w: int = W, **ranges) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, own, other, own_set, other_set, next_set): own and other, the edited text's, are the kept grams."""
+    n, kept_n, following = F.length("text"), F.col("n_kept"), F.coalesce("next_text", F.lit(""))
+    rows = with_next(docs, **ranges).withColumn("n_kept", n - F.floor(n / 4).cast("int"))
+    rows = rows.withColumn("new_end", F.substring(following, F.lit(1), n - kept_n))
+    # windows of the text that lie within what the edited text keeps; the others' grams are in tail
+    rows = rows.withColumn("n_same", F.greatest(kept_n - (w + k - 2), F.lit(0)))
+    same = F.col("n_same")
+    tail = F.when(~F.col("guest"), F.concat(F.substring("text", same + 1, kept_n - same), F.col("new_end")))
+    rows = rows.select(
+        "doc_id", "range", "guest", "h", "n_kept", "n_same", n.cast("long").alias("n_chars"), F.sha2(F.concat(F.substring("text", F.lit(1), kept_n), F.col("new_end")), 256).alias("edited_sha256"),
+        grams(F.col("text"), k).alias("own_grams"), grams(tail, k).alias("tail_grams"),
+    )
+    rows = rows.withColumn("own_least", minima(F.col("own_grams"), F.lit(True), w)).withColumn("tail_least", minima(F.col("tail_grams"), same == 0, w))
+    start = F.when(same > 0, F.slice("own_least", F.lit(1), same + (w - 1))).otherwise(F.array().cast(NONE))
+    rows = rows.withColumn("other_keys", F.array_distinct(F.concat(start, F.transform("tail_least", lambda x: x - same))))
+    rows = rows.withColumn("own", _kept(F.array_distinct("own_least"), lambda at: F.get("own_grams", at)))
+    rows = rows.withColumn("other", _kept(F.col("other_keys"), lambda at: F.when(at < same, F.get("own_grams", at)).otherwise(F.get("tail_grams", at - same))))
+    rows = rows.select("doc_id", "range", "guest", "h", "n_chars", "edited_sha256", "own", "other").withColumn("own_set", hashes(F.col("own"))).withColumn("other_set", hashes(F.col("other")))
+    return rows.withColumn("next_set", F.lead("own_set").over(_order())).where("not guest")
 
 
 def op10_winnow_fingerprints(spark, sf_dir: str) -> DataFrame:
