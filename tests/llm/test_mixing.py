@@ -40,9 +40,17 @@ def test_plan_on_hard_rows(spark):
 
 
 def test_taken_words_come_near_targets(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    size = F.when(F.col("id") % 100 == 0, 400).otherwise(F.col("id") % 40 + 1).cast("int")
+    source = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, "rare").otherwise(F.concat(F.lit("s"), F.col("id") % 7))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), size).alias("text"), source.alias("source"))
     for r in mixing.mix_plan(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
-        assert abs(r.taken - r.target) < 0.15 * r.target
+        assert abs(r.taken - r.target) < 0.02 * r.target, r
+
+
+def test_long_texts(spark):
+    rows = [(1, "w " * 1_000_000, "a"), (2, "x", "a"), (3, "y z", "b")]
+    out = {r.doc_id: r for r in mixing.mix_plan(documents(spark, rows)).collect()}
+    assert out[1].size == 1_000_000 and out[3].target == 6.0 and out[3].taken == 6
 
 
 def test_empty(spark):
