@@ -2,20 +2,24 @@ r"""Personal data: format-preserving pseudonyms by keyed Feistel networks, in Da
 
 One pattern finds candidates; each is validated by its kind (Luhn sum, mod-97 sum, octets, calendar,
 numbering plan) and, if valid, permuted within its format: digits stay digits, check digits are
-made anew, dates stay dates, addresses stay addresses. The permutation depends on the key and the kind
-alone, so equal values get equal pseudonyms in all documents and different values different ones.
+made anew, dates stay dates, addresses stay addresses. The permutation depends on the key, the kind and the
+value alone, not on how it is written: a number is permuted without its separators (a telephone number without
+country code 1, an address' local part in lower case) and then laid into the original's form. So equal values get
+equal pseudonyms in all documents and forms, and different values different ones.
 
-Strings (cards, accounts, local parts of mail addresses, secrets) go through a network over their two
+Strings (cards, accounts, telephone numbers, local parts of mail addresses, secrets) go through a network over their two
 halves: in each round every character of one half moves within its own alphabet by a keyed stream
 made from the other half. Numbers with a fixed domain (addresses, dates, social security numbers) go
 through a network over Z_a x Z_b. Both can be undone round by round, hence are one to one.
 
-An account or card is the longest start of its candidate that is valid, so words and numbers behind it
-stay text and are scanned on their own.
+Accounts and cards are marked before: at every place where one may start, also within a candidate that is none, the longest
+start that is valid is taken, so words and numbers around it stay text. Cards come without separators or in their
+usual groups. A start within an earlier valid one is not tried.
 
 A secret runs to its last character that is no dot, whatever its length; dots at its end are the sentence's.
 
-The text between the candidates is untouched and a text without candidates comes back as it is.
+The text between the candidates is untouched and a text without candidates comes back as it is; the four
+noncharacters that serve as marks are taken out of a text in which something is replaced.
 Nulls: a null text stays null with no replacements. Empty, long and repeated texts need nothing special.
 Other columns of the input pass through.
 """
@@ -36,16 +40,25 @@ L, R = F.lit, F.regexp_replace
 CANDIDATES: list[tuple[str, str]] = [
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
     ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=\-][A-Za-z0-9_+/=.\-]{6,}[A-Za-z0-9_+/=\-]|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
+    ("iban", "\ufdd1[A-Z0-9 ]+\ufdd2"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("date", r"(?<![\d./\-])(?:\d{4}([./\-])\d{1,2}\1\d{1,2}|\d{1,2}([./\-])\d{1,2}\2\d{4})(?![./\-]?\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\d\p{L}+(])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\p{L}+])\+[2-9]\d{0,2}(?:[ .\-]?\(?\d{1,5}\)?){2,6}(?!\d)"),
-    ("card", r"(?<![\d\p{L}])\d(?:[ \-]?\d){12,18}(?![\d\p{L}])"),
+    ("card", "\ufdd3[0-9 \\-]+\ufdd4"),
 ]
+#: Where an account or card may start, how far it may reach, and the forms of a card. Marked accounts are left alone.
+STARTS = {
+    "iban": (r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11})", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?:[A-Za-z0-9]|)"),
+    "card": ("(?<![\\d\\p{L}])(?=\\d(?:[ \\-]?\\d){12})(?![^\ufdd1\ufdd2]{0,60}\ufdd2)", r"\d(?:[ \-]?\d){12,18}(?:[\d\p{L}@]|)"),
+}
+CARD = r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ \-])\d{4}\2\d{4}\2\d{4}\2\d{3}|\d{4}([ \-])\d{6}\3\d{4,5})$"
 PATTERN = "|".join(p for _, p in CANDIDATES)
-#: Set behind an account or card that ends before its greedy candidate does, while a text is scanned.
-CUT = "\ufdd0"
+#: Set around a valid account or card while a text is scanned.
+MARKS = {"iban": "\ufdd1\ufdd2", "card": "\ufdd3\ufdd4"}
+ALL_MARKS = "".join(MARKS.values())
+#: Starts that may lie within one account or card.
+INNER = 8
 #: Days from 1900-01-01 that dates are permuted among: 251 * 292, till 2100.
 DATE_A, DATE_B, FIRST_DAY = 251, 292, "1900-01-01"
 
@@ -125,24 +138,38 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(L(1), F.length(s)), L(0), add)
 
 
-def _card(m: Column, key: str) -> Column:
-    body = F.substring(m, L(1), F.length(m) - 1)
+def laid(m: Column, new: Column) -> Column:
+    """m with its ASCII letters and digits replaced, in order, by the characters of new."""
+    start = F.struct(L("").alias("out"), L(1).alias("at"))
+
+    def step(s: Column, g: Column) -> Column:
+        ours = g.rlike("^[A-Za-z0-9]")
+        return F.struct(F.concat(s["out"], F.when(ours, F.substring(new, s["at"], F.length(g))).otherwise(g)).alias("out"), (s["at"] + F.when(ours, F.length(g)).otherwise(0)).alias("at"))
+
+    return F.aggregate(F.regexp_extract_all(m, L("[A-Za-z0-9]+|[^A-Za-z0-9]+"), L(0)), start, step)["out"]
+
 
-    def checked(new: Column) -> Column:
-        return F.concat(new, ((10 - luhn_sum(_digits(new), 0) % 10) % 10).cast("string"))
+def _card(m: Column, key: str) -> Column:
+    def made(digits: Column) -> Column:
+        body = F.substring(digits, L(1), F.length(digits) - 1)
+        checked = bound(string(body, default_mask(body), key, "card"), lambda new: F.concat(new, ((10 - luhn_sum(new, 0) % 10) % 10).cast("string")))
+        return F.when(luhn_sum(digits, 1) % 10 == 0, bound(checked, lambda new: laid(m, new)))
 
-    made = bound(string(body, default_mask(body), key, "card"), checked)
-    return F.when(luhn_sum(_digits(m), 1) % 10 == 0, made)
+    return bound(_digits(m), made)
 
 
 def _iban(m: Column, key: str) -> Column:
-    rest = F.substring(m, L(5), F.length(m))
+    def made(account: Column) -> Column:
+        rest = F.substring(account, L(5), F.length(account))
+
+        def checked(new: Column) -> Column:
+            check = 98 - mod97(F.concat(F.substring(account, 1, 2), L("00"), new))
+            return F.concat(F.substring(account, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
 
-    def checked(new: Column) -> Column:
-        check = 98 - mod97(F.concat(F.substring(m, 1, 2), L("00"), F.replace(new, L(" "), L(""))))
-        return F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
+        permuted = bound(string(rest, default_mask(rest), key, "iban"), checked)
+        return F.when(mod97(account) == 1, bound(permuted, lambda new: laid(m, new)))
 
-    return F.when(mod97(F.replace(m, L(" "), L(""))) == 1, bound(string(rest, default_mask(rest), key, "iban"), checked))
+    return bound(F.replace(m, L(" "), L("")), made)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -200,22 +227,28 @@ def _phone(m: Column, key: str) -> Column:
     # with them: such numbers are written as telephone numbers though they were not dealt out
     pre = F.regexp_extract(m, r"^(?:\+?1[ .\-]?)?", 0)
     rest = F.substring(m, F.length(pre) + 1, F.length(m))
-    plan = r"^(\D*)\d\d\d(\D*)\d\d\d(\D*)\d{4}$"
+    plan = r"^\D*\d\d\d\D*\d\d\d\D*\d{4}$"
 
-    def first(skipped: str) -> Column:
-        return F.when(F.regexp_extract(rest, rf"^{skipped}(\d)", 1) >= "2", L("8")).otherwise(L("x"))
+    def first(digits: Column, at: int) -> Column:
+        return F.when(F.substring(digits, at, 1) >= "2", L("8")).otherwise(L("x"))
 
-    mask = R(rest, L(plan), F.concat(L("$1"), first(r"\D*"), L("99$2"), first(r"\D*\d{3}\D*"), L("99$39999")))
-    local = F.concat(pre, string(rest, mask, key, "phone"))
+    local = bound(_digits(rest), lambda d: bound(string(d, F.concat(first(d, 1), L("99"), first(d, 4), L("999999")), key, "phone"), lambda new: F.concat(pre, laid(rest, new))))
     # other numbers keep their first two digits
-    head, tail = F.substring(m, 1, 3), F.substring(m, L(4), F.length(m))
-    abroad = F.concat(head, string(tail, default_mask(tail), key, "phone"))
+    abroad = bound(_digits(m), lambda d: bound(string(F.substring(d, L(3), F.length(d)), default_mask(F.substring(d, L(3), F.length(d))), key, "phone"), lambda new: laid(m, F.concat(F.substring(d, 1, 2), new))))
     return F.when(rest.rlike(plan), local).when(F.startswith(m, L("+")) & F.length(_digits(m)).between(8, 15) & ~F.startswith(m, L("+1")), abroad)
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(string(local, default_mask(local), key, "email"), L("@"), F.substring_index(m, "@", -1))
+    def made(local: Column) -> Column:
+        low = F.translate(local, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+        def cased(new: Column) -> Column:
+            at = F.sequence(L(1), F.length(local))
+            return F.array_join(F.transform(at, lambda i: F.when(F.substring(local, i, L(1)).rlike("[A-Z]"), F.upper(F.substring(new, i, L(1)))).otherwise(F.substring(new, i, L(1)))), "")
+
+        return F.concat(bound(string(low, default_mask(low), key, "email"), cased), L("@"), F.substring_index(m, "@", -1))
+
+    return bound(F.substring_index(m, "@", 1), made)
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -229,30 +262,57 @@ MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date":
 
 def pseudonym(m: Column, key: str) -> Column:
     """struct (kind, new) of a candidate; kind null and new the candidate itself if it isn't valid."""
-    out = None
+    out, bare = None, F.translate(m, ALL_MARKS, "")
     for kind, pattern in CANDIDATES:
         alone = F.rlike(m, L(rf"^(?:{pattern})$"))
-        out = (F if out is None else out).when(alone, F.struct(L(kind).alias("kind"), MAKERS[kind](m, key).alias("new")))
-    return F.transform(F.array(out), lambda s: F.struct(F.when(s["new"].isNotNull(), s["kind"]).alias("kind"), F.coalesce(s["new"], m).alias("new")))[0]
+        out = (F if out is None else out).when(alone, F.struct(L(kind).alias("kind"), MAKERS[kind](bare if kind in MARKS else m, key).alias("new")))
+    return F.transform(F.array(out), lambda s: F.struct(F.when(s["new"].isNotNull(), s["kind"]).alias("kind"), F.coalesce(s["new"], bare).alias("new")))[0]
+
 
+def _reach(candidate: Column, kind: str) -> Column:
+    """Length of the longest start of a candidate that is a valid account or card; null if there is none.
 
-def _cut(text: Column, kind: str) -> Column:
-    """text with CUT behind the longest valid start of each candidate of the kind that is not valid as a whole."""
-    pattern = dict(CANDIDATES)[kind]
+    A candidate may have one character more, which shows that its last group goes on.
+    """
 
     def valid(x: Column) -> Column:
-        return (mod97(F.replace(x, L(" "), L(""))) == 1) if kind == "iban" else (F.length(_digits(x)) >= 13) & (luhn_sum(_digits(x), 1) % 10 == 0)
+        return (F.length(F.replace(x, L(" "), L(""))) >= 15) & (mod97(F.replace(x, L(" "), L(""))) == 1) if kind == "iban" else F.rlike(x, L(CARD)) & (luhn_sum(_digits(x), 1) % 10 == 0)
+
+    goes_on = "[A-Za-z0-9]" if kind == "iban" else r"[\d\p{L}@]"
+    ends = F.filter(F.sequence(L(13), F.length(candidate)), lambda i: ~F.rlike(F.substring(candidate, i + 1, L(1)), L(goes_on)) & F.rlike(F.substring(candidate, i, L(1)), L("[A-Z0-9]")) & valid(F.substring(candidate, L(1), i)))
+    return F.try_element_at(ends, L(-1))
+
+
+def _marked(text: Column, kind: str) -> Column:
+    """text with marks around its valid accounts or cards."""
+    start, candidate = STARTS[kind]
+    begin, end = MARKS[kind]
+
+    def rebuilt(s: Column) -> Column:
+        # parts: what is before the first start (with a sign, so that it is never empty), then from start to start
+        parts, reach = s["parts"], s["reach"]
+
+        def gap(i: Column, m: int) -> Column:
+            """Characters from the part m before to part i."""
+            return reduce(lambda a, b: a + b, [F.length(F.get(parts, i - t)) for t in range(1, m + 1)], L(0))
+
+        def inside(i: Column) -> Column:
+            return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.get(reach, i - m) > gap(i, m), L(False)) for m in range(1, INNER + 1)]), L(False))
 
-    def marked(m: Column) -> Column:
-        # starts end where a group does; the shortest has 15 characters of an account or 13 of a card
-        ends = F.filter(F.sequence(L(13), F.length(m)), lambda i: F.substring(m, i + 1, L(1)).isin("", " ", "-") & valid(F.substring(m, L(1), i)) & ((F.length(F.replace(F.substring(m, L(1), i), L(" "), L(""))) >= 15) if kind == "iban" else L(True)))
-        return bound(F.try_element_at(ends, L(-1)), lambda end: F.when(end < F.length(m), F.concat(F.substring(m, L(1), end), L(CUT), F.substring(m, end + 1, F.length(m)))).otherwise(m))
+        def shown(part: Column, i: Column) -> Column:
+            left = F.coalesce(*(F.when((F.get(reach, i - m) > gap(i, m)) & ~inside(i - m), F.get(reach, i - m) - gap(i, m)) for m in range(INNER, -1, -1)))
+            begins = F.get(reach, i).isNotNull() & ~inside(i)
+            ended = F.when(left <= F.length(part), F.concat(F.substring(part, L(1), left), L(end), F.substring(part, left + 1, F.length(part)))).otherwise(part)
+            return F.concat(F.when(begins, L(begin)).otherwise(L("")), ended)
 
-    def rebuilt(all_of: Column) -> Column:
-        joined = F.array_join(F.zip_with(F.split(text, pattern), F.transform(all_of, marked), lambda a, b: F.concat(a, F.coalesce(b, L("")))), "")
-        return F.when(F.size(all_of) > 0, joined).otherwise(text)
+        near = F.transform(parts, lambda p, i: F.when(reduce(lambda a, b: a | b, [F.get(reach, i - m).isNotNull() for m in range(INNER + 1)]), shown(p, i)).otherwise(p))
+        return F.array_join(near, "")
 
-    return F.when(F.rlike(text, L(pattern)), bound(F.regexp_extract_all(text, L(pattern), L(0)), rebuilt)).otherwise(text)
+    signed = F.concat(L(begin), text)
+    parts = F.split(signed, start)
+    reach = F.concat(F.array(L(None).cast("int")), F.transform(F.regexp_extract_all(signed, L(f"{start}(?=({candidate}))."), L(1)), lambda c: _reach(c, kind)))
+    found = bound(F.struct(parts.alias("parts"), reach.alias("reach")), lambda s: F.when(F.exists(s["reach"], lambda r: r.isNotNull()), F.substring(rebuilt(s), L(2), F.length(text) * 2)).otherwise(text))
+    return F.when(F.rlike(text, L(start)), found).otherwise(text)
 
 
 #: Added to the input's columns by `found`.
@@ -263,18 +323,17 @@ SCANNED = "__pii_scanned"
 
 def found(docs: DataFrame, key: str) -> DataFrame:
     """docs with SCANNED and FOUND: an array of structs (kind, new), one for each candidate of the text, in order."""
-    text = F.col("text")
-    # a text that has the mark itself is scanned as it is
-    scanned = F.when(F.contains(text, L(CUT)), text).otherwise(bound(_cut(text, "iban"), lambda x: _cut(x, "card")))
+    text = F.translate("text", ALL_MARKS, "")
+    scanned = bound(_marked(text, "iban"), lambda x: _marked(x, "card"))
     text = F.col(SCANNED)
     all_of = F.when(F.rlike(text, L("[0-9@]|[=:]")), F.regexp_extract_all(text, L(PATTERN), L(0)))
     return docs.withColumn(SCANNED, scanned).withColumn(FOUND, F.transform(all_of, lambda m: pseudonym(m, key)))
 
 
 def _rebuilt() -> Column:
-    text, new = F.col(SCANNED), F.transform(F.col(FOUND), lambda x: x["new"])
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN), new, lambda a, b: F.concat(a, F.coalesce(b, L("")))), "")
-    return F.when(F.size(FOUND) > 0, F.when(F.contains(F.col("text"), L(CUT)), joined).otherwise(F.replace(joined, L(CUT), L("")))).otherwise(F.col("text"))
+    new = F.transform(F.col(FOUND), lambda x: x["new"])
+    joined = F.array_join(F.zip_with(F.split(F.col(SCANNED), PATTERN), new, lambda a, b: F.concat(a, F.coalesce(b, L("")))), "")
+    return F.when(F.exists(FOUND, lambda x: x["kind"].isNotNull()), joined).otherwise(F.col("text"))
 
 
 def pseudonymised(docs: DataFrame, key: str = "demonstration key") -> DataFrame:

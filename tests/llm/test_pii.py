@@ -14,8 +14,9 @@ def luhn(s):
 
 
 def new_of(spark, values):
-    rows = spark.createDataFrame([(v,) for v in values], "m string").select("m", pii.pseudonym(F.col("m"), KEY).alias("p"))
-    return {r.m: (r.p["kind"], r.p["new"]) for r in rows.collect()}
+    """(kind, new) by value, each a text of its own."""
+    out = pii.found(documents(spark, list(enumerate(values))), KEY).select("text", F.col(pii.FOUND)[0].alias("p"))
+    return {r.text: (r.p["kind"], r.p["new"]) if r.p else (None, r.text) for r in out.collect()}
 
 
 def test_kinds_and_formats(spark):
