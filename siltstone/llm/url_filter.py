@@ -3,8 +3,10 @@
 An entry is a list, a key (a domain, or a domain with the start of a path), an action and its
 time. For each list and key the entries become intervals that do not overlap: an addition
 holds until the key's next entry. A capture is matched under every suffix of its host, alone and with
-every start of its path as deep as any listed key, by equality of keys, and only against the intervals
-that hold at its fetch time. The longest matching key decides; of equal keys an allowing list wins.
+every start of its path as deep as any listed key, as of its fetch time: intervals are cut at the bounds of spans of
+BUCKET_DAYS days, and captures meet by key and span only what holds in their span, so a key with a long history is
+never paired with all of it. Only the time from the first to the last capture is cut. Of a list and key at most one
+interval holds. The longest matching key decides; of equal keys an allowing list wins.
 
 Verdicts are computed once for each distinct (url, fetch time), so copies of a hot URL are gathered
 before the join. The intervals are a written table: the planner broadcasts them only if they are
@@ -43,6 +45,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     return clean.withColumn("valid_to", F.lead("at").over(later)).where("action = 'add'").select("list", "kind", "key", F.col("at").alias("valid_from"), "valid_to")
 
 
+#: Days of a span.
+BUCKET_DAYS = 32
+
+
+def span_of(at: Column) -> Column:
+    return F.floor(F.unix_timestamp(at) / (BUCKET_DAYS * 86400)).cast("long")
+
+
 def keys(host: Column, path: Column, depth: int) -> Column:
     """Every suffix of a host, alone and with each start of the path of at most depth parts."""
     labels, parts = F.split(host, r"\."), F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, max(depth, 1))
@@ -58,8 +68,11 @@ def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     captures, valid = captures.select("capture_id", "url", "fetched_at"), staged(intervals(entries), "url-intervals")
     depth = valid.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     distinct = captures.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct()
-    asked = distinct.withColumn("key", F.explode(keys(host_of(F.col("url")), path_of(F.col("url")), depth)))
-    active = asked.join(valid, "key").where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
+    first, last = distinct.agg(F.min(span_of(F.col("fetched_at"))), F.max(span_of(F.col("fetched_at")))).first()
+    begins, ends = F.greatest(span_of(F.col("valid_from")), F.lit(first).cast("long")), F.least(F.coalesce(span_of(F.col("valid_to")), F.lit(last).cast("long")), F.lit(last).cast("long"))
+    held = staged(valid.withColumn("begins", begins).withColumn("ends", ends).where("begins <= ends").withColumn("span", F.explode(F.sequence("begins", "ends"))).drop("begins", "ends"), "url-spans")
+    asked = distinct.withColumn("key", F.explode(keys(host_of(F.col("url")), path_of(F.col("url")), depth))).withColumn("span", span_of(F.col("fetched_at")))
+    active = asked.join(held, ["key", "span"]).where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     rank = F.struct(F.length("key").alias("n"), (F.col("kind") == "allow").alias("allows"), F.col("list"), F.col("key"), F.col("kind"))
     verdict = active.groupBy(F.col("url").alias("of_url"), F.col("fetched_at").alias("of_time")).agg(F.countDistinct("list").alias("n_lists"), F.max(rank).alias("top"))
     found = captures.join(verdict, (F.col("url") == F.col("of_url")) & (F.col("fetched_at") == F.col("of_time")), "left")

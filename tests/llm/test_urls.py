@@ -41,3 +41,18 @@ def test_empty(spark):
     captures, entries = frames(spark, CASES)
     assert url_filter.filtered(captures.limit(0), entries).count() == 0
     assert url_filter.filtered(captures, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_long_histories_and_urls(spark):
+    """Every capture against each entry by itself, with many entries on one key and a very long URL."""
+    entries = [("a", "block", "hot.example", "add" if i % 2 == 0 else "remove", at(3 * i)) for i in range(200)] + [("b", "block", "old.example", "add", at(-4000))]
+    captures = [(i, "http://hot.example/" + "p/" * (i % 50), at(i)) for i in range(700)] + [(1000, "http://hot.example/" + "x" * 200_000, at(1)), (1001, "http://old.example", at(100))]
+    frame = spark.createDataFrame(captures, "capture_id long, url string, fetched_at timestamp_ntz").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    listed = spark.createDataFrame(entries, "list string, kind string, key string, action string, at timestamp_ntz").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.capture_id: r.blocked for r in url_filter.filtered(frame, listed).collect()}
+
+    def blocked(t):
+        past = [e for e in entries if e[2] == "hot.example" and e[4] <= t]
+        return bool(past) and max(past, key=lambda e: e[4])[3] == "add"
+
+    assert got == {**{i: blocked(t) for i, _, t in captures[:-1]}, 1001: True}
