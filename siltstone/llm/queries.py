@@ -16,9 +16,10 @@ def queries() -> dict:
         "op7_license_scan": licenses.op7_license_scan,
         "op8_pack_best_fit": packing.op8_pack_best_fit,
         "op9_quality_classifier": classifier.op9_quality_classifier,
+        "rule_ablations": rules.rule_ablations,
         "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op2_mix_sources": mixing.SQL, "op6_rule_ledger": rules.SQL, "op7_license_scan": licenses.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op2_mix_sources": mixing.SQL, "op6_rule_ledger": rules.SQL, "rule_ablations": rules.ABLATIONS_SQL, "op7_license_scan": licenses.SQL}
