@@ -5,7 +5,8 @@ a window is first cut into full windows. What remains of each document is dealt
 `group_pieces` pieces, a number that depends on the count of pieces alone, and each group is
 packed by falling length: a segment tree over the remaining capacities finds the tightest open
 window. Groups are independent, so a lost executor repeats its own groups only, and rerun
-groups come out the same: pieces are ordered by length, document, start and checksum.
+groups come out the same: pieces are ordered by length, document, start and checksum. Equal pieces (of repeated rows or
+null doc_ids) that are many for a group are dealt to several.
 
 Nulls: a null text is empty and still has its end token. Null or repeated doc_ids are packed like
 any others. An empty table gives no pieces. Extra columns are not read.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,8 +117,16 @@ def packed(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int =
     """documents -> one row for each piece: its document, place there, checksum, sequence and offset."""
     pieces = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_file, end_id, window), PIECES), "pack-pieces")
     groups = -(-pieces.count() // group_pieces) or 1
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("pack_group")
-    return pieces.select("*", group).groupBy("pack_group").applyInArrow(_packed(window), PACKED)
+    named = ("doc_id", "start", "ids_crc32")
+    many = pieces.groupBy(*named).count().where(F.col("count") > group_pieces // 4)
+    many = staged(many.select(*(F.col(c).alias(f"many_{c}") for c in named), F.ceil(F.col("count") / (group_pieces // 4)).alias("shares")), "pack-many")
+    salt = F.lit(0).cast("long")
+    if not many.isEmpty():  # the pieces are a written table, so a row's number is the same in every attempt
+        pieces = pieces.withColumn("row_no", F.monotonically_increasing_id())
+        pieces = pieces.join(many, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"many_{c}")) for c in named)), "left")
+        salt = F.coalesce(F.pmod("row_no", "shares"), salt)
+    group = F.pmod(F.xxhash64(*named, salt), F.lit(groups)).alias("pack_group")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", group).groupBy("pack_group").applyInArrow(_packed(window), PACKED)
 
 
 def op8_pack_best_fit(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token-id files: whole texts encoded, in ascending doc_id order, as one wavelet matrix a shard.
 
-The texts are dealt once, by ranges of doc_id, and sorted within each range; each task encodes
+The texts are dealt once, by ranges of doc_id and a hash of the text, and sorted within each range; each task encodes
 its documents and writes a file whenever `shard_ids` ids are gathered, so memory is bounded by a
-shard and the longest document. A file is written under a name of its own attempt and then
+shard and the longest document. The number of ranges follows the bytes of the texts, at most one for 512 MB once there are
+4096, and the driver samples ten keys for each of so many. A file is written under a name of its own attempt and then
 renamed to a name that depends on range and number only; its bytes depend on the rows only. A
 repeated task therefore replaces a file by an equal one. The table of files says which count.
 
@@ -16,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import wavelet
-from siltstone.llm.common import shared_path, staged, table
+from siltstone.llm.common import range_count, shared_path, staged, table
 from siltstone.llm.tokens import encoder
 
 FILES = "file string, part long, shard long, n_docs long, n_ids long, bytes long"
@@ -80,13 +82,26 @@ def _write(folder: str, tokenizer_file: str, end_id: int, shard_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, shard_ids: int = 1 << 22, docs_per_range: int = 8192) -> DataFrame:
+@contextmanager
+def _few_samples(spark, ranges: int):
+    """A hundred sampled keys a range, or ten if there are many, while this holds."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100" if ranges <= 4096 else "10")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, shard_ids: int = 1 << 22, range_bytes: int = 4 << 20) -> DataFrame:
     """Write the files; returns the table of files, itself written beside them."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranges = -(-rows.count() // docs_per_range) or 1
-    order = F.col("doc_id").asc_nulls_last()
-    dealt = rows.repartitionByRange(ranges, order).sortWithinPartitions(order, F.xxhash64("text"))
-    return staged(dealt.mapInArrow(_write(folder, tokenizer_file, end_id, shard_ids), FILES), "token-file-table")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    ranges, order = range_count(size, range_bytes), [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    with _few_samples(docs.sparkSession, ranges):
+        dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        return staged(dealt.mapInArrow(_write(folder, tokenizer_file, end_id, shard_ids), FILES), "token-file-table")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,8 @@ A byte-level BPE of the usual split pattern never merges across a single space o
 that stands between two other non-blank characters: the space opens the next piece and the line
 feed is a piece of its own. A text without blanks side by side can thus be cut there, and equal
 cuts get equal ids, so each worker encodes a frequent word once. Any other text is cut only at
-single spaces between two non-blanks, by a pattern.
+single spaces between two non-blanks, by a pattern. The strings of special tokens are found as the library finds them:
+they have neither blanks nor letters alone, so no cut divides one and each goes to the library whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
 
     def __missing__(self, cut: str) -> bytes:

@@ -14,7 +14,6 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 PLAIN = Tokenizer.from_file(FILE)
-PLAIN.encode_special_tokens = True
 
 
 def plain_ids(text):

@@ -11,7 +11,6 @@ from tests.llm.helpers import documents, texts
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(FILE)
-PLAIN.encode_special_tokens = True
 
 
 def test_wavelet_round_trip_and_lookups(monkeypatch):
