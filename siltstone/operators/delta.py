@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import schema as S
@@ -28,11 +28,14 @@ def _rows(joined: DataFrame) -> DataFrame:
 
 
 def delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Snapshots of unique paths -> rows of schema.DELTA, unordered. One shuffle of each side."""
+    """Snapshots of unique paths -> rows of schema.DELTA, unordered. One shuffle of each side.
+
+    A null hash (of a null content) equals only another null one; a null path meets no other.
+    """
     o = _side(old.select("path", "hash"), "o_")
     n = _side(_offset(new).select("path", "hash", "data_offset", "data_size"), "n_")
     joined = o.join(n, F.col("o_path") == F.col("n_path"), "full_outer")
-    return _rows(joined.where("o_path is null or n_path is null or o_hash <> n_hash"))
+    return _rows(joined.where("o_path is null or n_path is null or not (o_hash <=> n_hash)"))
 
 
 def delta_of_repeated(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def deleted(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def updated(old: DataFrame, new: DataFrame) -> DataFrame:
-    return new.join(old.select("path", F.col("hash").alias("old_hash")), "path").where("hash <> old_hash")
+    return new.join(old.select("path", F.col("hash").alias("old_hash")), "path").where("not (hash <=> old_hash)")
 
 
 def in_io_order(delta: DataFrame) -> DataFrame:
@@ -71,8 +74,18 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("old")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new")))
 
 
+def path_of(*values: Column) -> Column:
+    """One path from key values, different for different keys: / and \\ are escaped, and null is \\N."""
+
+    def part(x: Column) -> Column:
+        return F.coalesce(F.replace(F.replace(x.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/")), F.lit("\\N"))
+
+    return F.concat_ws("/", *map(part, values))
+
+
 def keyed(df: DataFrame, *keys: str) -> DataFrame:
-    """Any keyed table as a snapshot: path from the keys, hash from the other columns as JSON."""
+    """Any keyed table as a snapshot: path from the keys, hash from the other columns as JSON; entry_idx orders equal keys by hash."""
     rest = [c for c in df.columns if c not in keys]
-    values = F.to_json(F.struct(*rest))
-    return df.select(F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("path"), F.octet_length(values).cast("long").alias("data_size"), F.sha2(values, 256).alias("hash"))
+    values = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+    rows = df.select(path_of(*map(F.col, keys)).alias("path"), F.octet_length(values).cast("long").alias("data_size"), F.sha2(values, 256).alias("hash"))
+    return rows.withColumn("entry_idx", F.col("hash"))

@@ -12,6 +12,7 @@ from siltstone import schema as S
 from siltstone.functions import blocks, paths
 from siltstone.operators import delta as D
 from siltstone.operators import snapshot
+from siltstone.plans.staging import staged
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,18 +30,19 @@ def create(old: DataFrame, new: DataFrame, most_old: int = S.MOST_DELTA_OLD) ->
     """Contents (path, content) -> rows of schema.PATCH.
 
     The delta is made of paths and hashes alone; contents are read again for changed paths only.
-    Updated contents become block deltas unless the old one is larger than most_old.
+    Updated contents become block deltas unless the old one is larger than most_old, or one of both is null: a null
+    content is written as it is. The delta is written once.
     """
-    rows = D.delta(snapshot.index(old), snapshot.index(new)).select("path", "status", "hash")
+    rows = staged(D.delta(snapshot.index(old), snapshot.index(new)).select("path", "status", "hash"), "patch-delta")
     after = new.select("path", F.col("content").cast("binary").alias("new"))
     before = old.select("path", F.col("content").cast("binary").alias("old"))
     written = rows.where(F.col("status") != S.DELETED).join(after, "path")
     pairs = written.where(F.col("status") == S.UPDATED).join(before, "path")
-    small = F.octet_length("old") <= most_old
+    small = F.coalesce((F.octet_length("old") <= most_old) & F.col("new").isNotNull(), F.lit(False))
     size = F.octet_length("payload").cast("long").alias("data_size")
 
     def whole(df: DataFrame) -> DataFrame:
-        return df.select("path", F.lit(0).alias("flags"), F.octet_length("new").cast("long").alias("data_size"), "hash", F.col("new").alias("payload"))
+        return df.select("path", F.lit(0).alias("flags"), F.coalesce(F.octet_length("new"), F.lit(0)).cast("long").alias("data_size"), "hash", F.col("new").alias("payload"))
 
     out = whole(written.where(F.col("status") == S.ADDED)).unionByName(whole(pairs.where(~small)))
     out = out.unionByName(encoded(pairs.where(small)).select("path", F.lit(S.FLAG_BINARY_DELTA).alias("flags"), size, "hash", "payload"))
@@ -89,7 +91,20 @@ def merged(old: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def apply(old: DataFrame, patch: DataFrame) -> DataFrame:
-    return merged(old, outcome(old, patch))
+    """The content table after a patch; what it does is written once, since the merge reads it twice."""
+    return merged(old, staged(outcome(old, patch), "patch-outcome"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = [[kind for kind, *_ in blocks.decode(x)[1]] for x in batch.column("payload").to_pylist()]
+        copies = [sum(k == S.COPY for k in ks) for ks in kinds]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(copies, pa.int64()), pa.array([len(k) - c for k, c in zip(kinds, copies)], pa.int64())], names=["path", "copies", "literals"])
+
+
+def instruction_counts(patch: DataFrame) -> DataFrame:
+    """(path, copies, literals) of a patch's block deltas."""
+    return patch.where(snapshot.flagged(F.col("flags"), S.FLAG_BINARY_DELTA)).select("path", "payload").mapInArrow(_counted, "path string, copies long, literals long")
 
 
 def error_count(results: DataFrame) -> DataFrame:
@@ -129,7 +144,8 @@ def reuse(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def literal_chunks(contents: DataFrame) -> DataFrame:
-    """Number of literals that each content would take on its own, and the bytes of such a delta."""
+    """(path, chunk, offset, size) of the literals that each content would take on its own."""
     size = F.octet_length(F.col("content").cast("binary")).cast("long")
-    n = F.ceil(size / S.MOST_LITERAL).cast("long")
-    return contents.select("path", n.alias("literals"), (F.lit(S.DELTA_HEADER_BYTES) + n * S.INSTRUCTION_BYTES + size).cast("long").alias("delta_bytes"))
+    rows = contents.select("path", size.alias("n")).where("n > 0")
+    rows = rows.select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / S.MOST_LITERAL))).alias("chunk"))
+    return rows.select("path", "chunk", (F.col("chunk") * S.MOST_LITERAL).alias("offset"), F.least(F.lit(S.MOST_LITERAL).cast("long"), F.col("n") - F.col("chunk") * S.MOST_LITERAL).alias("size"))

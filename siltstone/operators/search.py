@@ -76,6 +76,11 @@ def ignored(entries: DataFrame, rules: DataFrame, recursive: bool = False) -> Da
     path = F.col("path")
     clean = rules.where("trim(pattern) <> '' and not startswith(pattern, '#')").select(F.col("folder").alias("rule_folder"), "pattern").distinct()
     steps = F.split(path, "/")
+    if not recursive:  # the patterns of one ignore file, told apart within the row
+        patterns = sorted(r[0] for r in clean.where("rule_folder = ''").select("pattern").collect())
+        if not patterns:
+            return entries
+        return entries.where(~F.coalesce(F.exists(steps, lambda name: F.exists(F.lit(patterns), lambda p: paths.glob_column(name, p))), F.lit(False)))
     # each name on the way, with its folder and the folder above that
     on_way = F.transform(
         F.sequence(F.lit(1), F.size(steps)),
@@ -85,12 +90,8 @@ def ignored(entries: DataFrame, rules: DataFrame, recursive: bool = False) -> Da
         ),
     )
     names = entries.select("path").distinct().select("path", F.explode(on_way).alias("s")).select("path", "s.*")
-    if recursive:
-        scoped = names.select("path", "name", F.explode(F.array_distinct(F.array("folder", F.coalesce("above", "folder")))).alias("rule_folder"))
-        hit = scoped.join(clean, "rule_folder").where(paths.glob_column(F.col("name"), F.col("pattern")))
-    else:
-        root = clean.where("rule_folder = ''")
-        hit = names.join(root.select("pattern"), paths.glob_column(F.col("name"), F.col("pattern")), "left_semi")
+    scoped = names.select("path", "name", F.explode(F.array_distinct(F.array("folder", F.coalesce("above", "folder")))).alias("rule_folder"))
+    hit = scoped.join(clean, "rule_folder").where(paths.glob_column(F.col("name"), F.col("pattern")))
     return entries.join(hit.select("path").distinct(), "path", "left_anti")
 
 

@@ -55,9 +55,9 @@ def header(entries: DataFrame, index_only: bool = False) -> DataFrame:
     return out.withColumn("metadata_end", F.greatest(F.col("path_offset"), F.col("path_offset") + F.col("path_bytes"))).withColumn("flags", F.lit(S.FLAG_INDEX_ONLY if index_only else 0))
 
 
-def exported(entries: DataFrame) -> DataFrame:
-    """The metadata of entries alone."""
-    return entries.drop("content")
+def exported(entries: DataFrame, flags: int = 0) -> DataFrame:
+    """The metadata of entries with offsets alone, as an index without data has them: data_offset is 0."""
+    return entries.select("entry_idx", "path", F.lit(flags).alias("flags"), F.lit(0).cast("long").alias("data_offset"), "data_size", "hash", "path_offset")
 
 
 def data_position(offset: Column) -> Column:
@@ -76,9 +76,10 @@ def batch_plan(free_bytes: Column, files: Column, average: Column) -> Column:
 
 
 def with_batches(entries: DataFrame, most_files: int = 4096, most_bytes: int = 128 << 20) -> DataFrame:
-    """Entries with offsets -> batch_no, the batches being bounded by files and by bytes of their starts."""
+    """Entries with offsets -> batch_no, the batches being bounded by files and by bytes of their starts, and batch_offset within the batch."""
     batch = F.greatest(F.floor(F.col("entry_idx") / most_files), F.floor(F.col("data_offset") / most_bytes)).cast("long")
-    return entries.withColumn("batch_no", batch)
+    first = F.min("data_offset").over(Window.partitionBy("batch_no"))
+    return entries.withColumn("batch_no", batch).withColumn("batch_offset", F.col("data_offset") - first)
 
 
 def verified(contents: DataFrame, entries: DataFrame) -> DataFrame:
@@ -88,10 +89,20 @@ def verified(contents: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def not_there(entries: DataFrame, there: DataFrame, same_content: bool = False) -> DataFrame:
-    """Entries to write: those whose path is not there, or not there with the same hash."""
-    return entries.join(there.select("path", "hash") if same_content else there.select("path"), ["path", "hash"] if same_content else ["path"], "left_anti")
+    """Entries to write: those whose path is not there, or not there with the same hash (two null ones are the same)."""
+    found = there.select(F.col("path").alias("there_path"), F.col("hash").alias("there_hash"))
+    same = F.col("path") == F.col("there_path")
+    return entries.join(found, same & F.col("hash").eqNullSafe(F.col("there_hash")) if same_content else same, "left_anti")
 
 
-def listing_json(entries: DataFrame, parts: Column | None = None) -> DataFrame:
+def listing_json(entries: DataFrame) -> DataFrame:
     """One JSON object (path, size) for each entry, escaped."""
     return entries.select("path", F.to_json(F.struct("path", F.col("data_size").alias("size"))).alias("json"))
+
+
+def listing_array(entries: DataFrame, most: int = 100_000) -> str:
+    """The listing as one JSON array, by path, as a browser asks for it; more than `most` entries are an error."""
+    rows = listing_json(entries).orderBy("path").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries; use listing_json")
+    return "[" + ",".join(r.json for r in rows) + "]"

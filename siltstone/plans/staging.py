@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a temporary folder takes its place and is
-    remembered in the session.
+    Where the session names none, a temporary folder takes its place on a local master (tests on one machine) and is
+    removed with the process; on any other master that is an error, since its executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltstone.shared.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that the executors of {master} share")
+        found = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        found = "file://" + found
         spark.conf.set("siltstone.shared.dir", found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -31,3 +42,13 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleaned(spark: SparkSession) -> int:
+    """Remove all that this process wrote to the shared folder; call it when no result is read any more. Returns how many paths."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone import schema as S
 from siltstone.functions import paths
+from siltstone.operators import search
 from siltstone.sources.archive import local
 
 RESULT = "path string, state string"
@@ -58,10 +59,28 @@ def extract(files: DataFrame, folder: str, overwrite: bool = True, verify: bool
     contents are written only if their hash is right.
     """
     digest = F.col("hash") if "hash" in files.columns else F.lit(None)
+    if "hash" in files.columns and files.schema["hash"].dataType.typeName() == "binary":
+        digest = F.lower(F.hex("hash"))
     rows = files.where(paths.safe_to_write(F.col("path"))).select("path", F.col("content").cast("binary").alias("content"), digest.cast("string").alias("hash"))
     return rows.mapInArrow(_write(local(folder), overwrite, verify), RESULT)
 
 
+def extract_one(files: DataFrame, path: str, folder: str, overwrite: bool = True, verify: bool = False) -> DataFrame:
+    """Write the file of one path; a path that is not there is an error."""
+    found = files.where(F.col("path") == path)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no file {path}")
+    return extract(found, folder, overwrite, verify)
+
+
+def extract_folder(files: DataFrame, of: str, folder: str, to: str = "", strict: bool = True, overwrite: bool = True, verify: bool = False) -> DataFrame:
+    """Write the files below a folder, their paths taken from there on; a folder without files is an error."""
+    found = search.folder(files, of, to, strict)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no folder {of}")
+    return extract(found.withColumn("path", F.col("target")).drop("target"), folder, overwrite, verify)
+
+
 def _remove(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

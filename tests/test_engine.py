@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import struct
@@ -9,6 +10,7 @@ from siltstone import schema as S
 from siltstone.functions import paths
 from siltstone.operators import delta as D
 from siltstone.operators import patch, search, snapshot
+from siltstone.plans import staging
 from siltstone.sources import archive, extract
 
 HELLO = "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
@@ -191,3 +193,71 @@ def test_ignored_rows_follow_the_walk(spark, tmp_path):
     for recursive in (False, True):
         walked = {p for p, _ in archive.walk(str(tmp_path), recursive=recursive) if not p.endswith(".pafignore")}
         assert {r.path for r in search.ignored(everything, frame, recursive).collect()} == walked
+
+
+def test_null_contents(spark):
+    def side(**files):
+        return spark.createDataFrame(list(files.items()), "path string, content string")
+
+    old, new = side(a=None, b="x", c=None, d="1", e=""), side(a="now", b=None, c=None, d="1", e=None)
+    assert delta_of(old, new) == {"a": "UPDATED", "b": "UPDATED", "e": "UPDATED"}
+    assert {r.path for r in D.updated(snapshot.index(old), snapshot.index(new)).collect()} == {"a", "b", "e"}
+    assert {r.path for r in snapshot.not_there(snapshot.index(new), snapshot.index(old), same_content=True).collect()} == {"a", "b", "e"}
+    results = patch.outcome(old, patch.create(old, new))
+    assert results.where("error is not null").count() == 0
+    assert {r.path: r.content and bytes(r.content) for r in patch.apply(old, patch.create(old, new)).collect()} == {"a": b"now", "b": None, "c": None, "d": b"1", "e": None}
+
+
+def test_keys_do_not_collide(spark):
+    rows = spark.createDataFrame([("a/b", "c"), ("a", "b/c"), ("a", None), (None, "a"), ("a\\", "b"), ("a", "\\N"), ("\\N", "a")], "x string, y string")
+    held = D.keyed(rows, "x", "y")
+    assert held.select("path").distinct().count() == 7 and held.select("hash").distinct().count() == 1
+
+
+def test_filters_reach_the_archive(spark, tmp_path):
+    archive.register(spark)
+    file = str(tmp_path / "x.arc")
+    files = {f"d/{i:03d}": f"content {i}" * 10 for i in range(500)}
+    contents(spark, files).repartitionByRange(3, "path").sortWithinPartitions("path").write.format("siltstone_archive").mode("append").options(path=file).save()
+    read = spark.read.format("siltstone_archive").option("view", "files").load(file)
+    assert [(r.path, bytes(r.content).decode()) for r in read.where("entry_idx = 17").collect()] == [("d/017", files["d/017"])]
+    assert {r.path for r in read.where("path in ('d/003', 'd/499', 'none')").collect()} == {"d/003", "d/499"}
+    assert read.where("entry_idx = 500").count() == 0 and read.where("entry_idx = 3 and path = 'd/004'").count() == 0
+    reader = archive.ArchiveReader(file, "files", (0, None))
+    assert list(reader.pushFilters([archive.EqualTo(("entry_idx",), 17)])) and [p.files for p in reader.partitions()] == [[17, 18]]
+    part = spark.read.format("siltstone_archive").options(view="files", offset="8", size="5").load(file)
+    assert {r.path: bytes(r.content).decode() for r in part.collect()} == {p: c[8:13] for p, c in files.items()}
+    for bad in ("", "d" * 1024):
+        with pytest.raises(Exception, match="a path of"):
+            contents(spark, {bad: "x"}).write.format("siltstone_archive").mode("append").options(path=str(tmp_path / "bad")).save()
+    with pytest.raises(ValueError, match="mount"):
+        archive.local("hdfs://host/x")
+
+
+def test_extract_one_and_folder(spark, tmp_path):
+    files = contents(spark, {"foo/x": "1", "foo/d/y": "2", "bar": "3"})
+    assert [tuple(r) for r in extract.extract_one(files, "foo/x", str(tmp_path)).collect()] == [("foo/x", "written")]
+    assert {tuple(r) for r in extract.extract_folder(files, "foo", str(tmp_path), "to/").collect()} == {("to/x", "written"), ("to/d/y", "written")}
+    assert (tmp_path / "to/d/y").read_text() == "2"
+    for call in (lambda: extract.extract_one(files, "no", str(tmp_path)), lambda: extract.extract_folder(files, "fo", str(tmp_path))):
+        with pytest.raises(FileNotFoundError):
+            call()
+
+
+def test_listing_as_an_array(spark):
+    held = snapshot.index(contents(spark, {'b"q': "1", "a": ""}))
+    assert json.loads(snapshot.listing_array(held)) == [{"path": "a", "size": 0}, {"path": 'b"q', "size": 1}]
+    with pytest.raises(ValueError):
+        snapshot.listing_array(held, most=1)
+
+
+def test_written_tables_can_be_removed(spark):
+    held = list(staging._written)
+    staging._written.clear()
+    try:
+        assert staging.staged(spark.range(5), "t").count() == 5
+        (path,) = (archive.local(p) for p in staging._written)
+        assert os.listdir(path)
+        assert staging.cleaned(spark) == 1 and not os.path.exists(path)
+    finally:
+        staging._written.extend(held)
