@@ -3,9 +3,10 @@
 A text becomes the counts of its words, marks and pairs of neighbours, hashed to `2**bits` slots,
 damped by log(1 + count) and scaled to length one. A pair of two equal words counts as one
 feature whatever the word, so that repetition is learnt for words that training never saw.
-Training runs in one task over at most `max_rows` labelled rows (a documented bound: the rows
-with the smallest keyed hashes), in an order that depends on those hashes alone. Scoring is a
-sparse dot product for each whole text, without any shuffle.
+Training runs over at most `max_rows` labelled rows (a documented bound: the rows with the smallest
+keyed hashes), in an order that depends on those hashes alone. Their features are written once; each epoch is a task that
+streams them in that order, so it holds a batch and the model's two vectors whatever the texts' lengths, and a lost
+epoch starts again from the vectors of the one before. Scoring is a sparse dot product for each whole text, without any shuffle.
 
 Nulls: a null or empty text has only the intercept and still gets a score. A null doc_id is never
 held out and never a training row. Labels that are null or not 0 or 1 are ignored; of repeated
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import table, texts
+from siltstone.llm.common import staged, table, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Added to the input's columns; renamed by callers.
@@ -58,40 +59,47 @@ def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(slots, np.uint32(1 << bits)), np.append(values / norm, 1.0)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.05) -> np.ndarray:
-    """Weights by FTRL-proximal, one row at a time; both labels count as much in total."""
-    ones = sum(y for *_, y in rows)
-    share = {y: len(rows) / (2 * n) for y, n in ((1, ones), (0, len(rows) - ones)) if n}
-    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+class Ftrl:
+    """FTRL-proximal over 2**bits slots and the intercept; share: the weight of a row by its label."""
 
-    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
+    def __init__(self, bits: int, share: dict[int, float], state: bytes | None = None, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.05) -> None:
+        self.share, self.alpha, self.beta, self.l1, self.l2 = share, alpha, beta, l1, l2
+        held = np.frombuffer(state, "<f8").copy() if state else np.zeros(2 * ((1 << bits) + 1))
+        self.z, self.n = held.reshape(2, -1)
 
-    for _ in range(epochs):
-        for at, x, y in rows:
-            zi, ni = z[at], n[at]
-            w = weights(zi, ni)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - y) * share[y] * x
-            more = ni + g * g
-            z[at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / alpha * w
-            n[at] = more
-    return weights(z, n).astype("<f4")
+    def weights(self, at=slice(None)) -> np.ndarray:
+        z = self.z[at]
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
+
+    def learn(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
+        w, before = self.weights(at), self.n[at]
+        g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - y) * self.share[y] * x
+        self.n[at] = before + g * g
+        self.z[at] += g - (np.sqrt(self.n[at]) - np.sqrt(before)) / self.alpha * w
+
+    def state(self) -> bytes:
+        return np.stack([self.z, self.n]).astype("<f8").tobytes()
 
 
 def _extract(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py(), bits) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("turn"), pa.array([a.astype("<u4").tobytes() for a, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], names=["label", "turn", "slots", "vals"])
+            columns = [pa.array([a.astype(t).tobytes() for a in g], pa.binary()) for g, t in zip(zip(*got), ("<u4", "<f4"))] if got else [pa.array([], pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("turn"), *columns], names=["label", "turn", "slots", "vals"])
 
     return run
 
 
-def _train(bits: int, epochs: int):
+def _epoch(bits: int, share: dict[int, float], state: bytes | None):
+    """Rows in the order of training -> the model's vectors after them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(b.column("turn").to_pylist(), b.column("slots").to_pylist(), b.column("vals").to_pylist(), b.column("label").to_pylist()))
-        decoded = [(np.frombuffer(s, "<u4"), np.frombuffer(v, "<f4").astype(float), y) for _, s, v, y in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([fit(decoded, bits, epochs).tobytes()], pa.binary())], names=["weights"])
+        model = Ftrl(bits, share, state)
+        for batch in batches:
+            for y, slots, vals in zip(batch.column("label").to_pylist(), batch.column("slots"), batch.column("vals")):
+                model.learn(np.frombuffer(slots.as_buffer(), "<u4"), np.frombuffer(vals.as_buffer(), "<f4").astype(float), y)
+        yield pa.RecordBatch.from_arrays([pa.array([model.state()], pa.binary())], names=["state"])
 
     return run
 
@@ -110,9 +118,13 @@ def trained(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int =
     known = known.where(~held_out(F.col("of_doc"))).groupBy("of_doc").agg(F.min("label").alias("label"))
     sample = known.withColumn("turn", F.xxhash64(F.lit(seed), "of_doc")).orderBy("turn", "of_doc").limit(max_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("of_doc")).select("text", "label", "turn")
-    rows = rows.mapInArrow(_extract(bits), "label int, turn long, slots binary, vals binary")
-    model = rows.repartition(1).mapInArrow(_train(bits, epochs), "weights binary")
-    return np.frombuffer(model.first().weights, "<f4")
+    rows = staged(rows.mapInArrow(_extract(bits), "label int, turn long, slots binary, vals binary"), "quality-rows")
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    share = {y: sum(counts.values()) / (2 * n) for y, n in counts.items()}
+    state = None
+    for _ in range(epochs if counts else 0):
+        state = rows.coalesce(1).sortWithinPartitions("turn", "label", "slots").mapInArrow(_epoch(bits, share, state), "state binary").first().state
+    return Ftrl(bits, share, state).weights().astype("<f4")
 
 
 def _score(weights: np.ndarray, bits: int):
