@@ -288,25 +288,31 @@ def _marked(text: Column, kind: str) -> Column:
     start, candidate = STARTS[kind]
     begin, end = MARKS[kind]
 
+    def gaps(parts: Column, i: Column) -> list[Column]:
+        """Characters from the part m before to part i, for m from 0."""
+        out = [L(0)]
+        for m in range(1, INNER + 1):
+            out.append(out[-1] + F.length(F.get(parts, i - m)))
+        return out
+
     def rebuilt(s: Column) -> Column:
         # parts: what is before the first start (with a sign, so that it is never empty), then from start to start
         parts, reach = s["parts"], s["reach"]
 
-        def gap(i: Column, m: int) -> Column:
-            """Characters from the part m before to part i."""
-            return reduce(lambda a, b: a + b, [F.length(F.get(parts, i - t)) for t in range(1, m + 1)], L(0))
+        def first(r: Column, i: Column) -> Column:
+            """The reach of a start that does not lie within an earlier one's."""
+            inside = [F.coalesce(F.get(reach, i - m) > g, L(False)) for m, g in enumerate(gaps(parts, i)) if m]
+            return F.when(~reduce(lambda a, b: a | b, inside), r)
 
-        def inside(i: Column) -> Column:
-            return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.get(reach, i - m) > gap(i, m), L(False)) for m in range(1, INNER + 1)]), L(False))
+        def shown(kept: Column) -> Column:
+            def part(p: Column, i: Column) -> Column:
+                left = F.coalesce(*(F.when(F.get(kept, i - m) > g, F.get(kept, i - m) - g) for m, g in reversed(list(enumerate(gaps(parts, i))))))
+                ended = F.when(left <= F.length(p), F.concat(F.substring(p, L(1), left), L(end), F.substring(p, left + 1, F.length(p)))).otherwise(p)
+                return F.concat(F.when(F.get(kept, i).isNotNull(), L(begin)).otherwise(L("")), ended)
 
-        def shown(part: Column, i: Column) -> Column:
-            left = F.coalesce(*(F.when((F.get(reach, i - m) > gap(i, m)) & ~inside(i - m), F.get(reach, i - m) - gap(i, m)) for m in range(INNER, -1, -1)))
-            begins = F.get(reach, i).isNotNull() & ~inside(i)
-            ended = F.when(left <= F.length(part), F.concat(F.substring(part, L(1), left), L(end), F.substring(part, left + 1, F.length(part)))).otherwise(part)
-            return F.concat(F.when(begins, L(begin)).otherwise(L("")), ended)
+            return F.array_join(F.transform(parts, part), "")
 
-        near = F.transform(parts, lambda p, i: F.when(reduce(lambda a, b: a | b, [F.get(reach, i - m).isNotNull() for m in range(INNER + 1)]), shown(p, i)).otherwise(p))
-        return F.array_join(near, "")
+        return bound(F.transform(reach, first), shown)
 
     signed = F.concat(L(begin), text)
     parts = F.split(signed, start)
@@ -323,7 +329,7 @@ SCANNED = "__pii_scanned"
 
 def found(docs: DataFrame, key: str) -> DataFrame:
     """docs with SCANNED and FOUND: an array of structs (kind, new), one for each candidate of the text, in order."""
-    text = F.translate("text", ALL_MARKS, "")
+    text = F.when(F.rlike("text", L(f"[{ALL_MARKS}]")), F.translate("text", ALL_MARKS, "")).otherwise(F.col("text"))
     scanned = bound(_marked(text, "iban"), lambda x: _marked(x, "card"))
     text = F.col(SCANNED)
     all_of = F.when(F.rlike(text, L("[0-9@]|[=:]")), F.regexp_extract_all(text, L(PATTERN), L(0)))
