@@ -1,8 +1,8 @@
 r"""Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of k code points of a text is a gram. Grams are hashed by a cyclic polynomial, the rolling hash of xor
-and rotation: that of 2m code points is that of the first m, rotated by m, xor that of the next m, so all grams' hashes come
-from as many passes over the text as k has bits. Of every window of w grams the least hash (by its upper 32 bits) is kept, the
+Every run of k code points of a text is a gram. Its hash is rolled from those of shorter runs, as a cyclic polynomial is:
+the hash of 2m code points is that of the first m, rotated by m, xor that of the next m. The shortest runs, of BASE code points
+at every place, are hashed by XXH64, so each is read once for all grams it lies in. Of every window of w grams the least hash (by its upper 32 bits) is kept, the
 rightmost of equal ones; windows grow and shrink at the edges, so a text keeps its first and last gram. Window minima
 double in the same way. Each kept gram has its hash and its place, the number of code points before it.
 Any run of w + k - 1 code points that two texts share, wherever it lies in them, has a common hash. A text shorter
@@ -11,8 +11,8 @@ than a gram is one gram. The likeness of two fingerprints is the share of common
 An edited text keeps the windows of its unchanged start; only those that reach into the new end are made anew.
 
 Texts are dealt once, by ranges of doc_id, for the document that follows each: within a range it is the next row; a range's last
-row finds its successor in a copy of the next range's first document, which is sent along. The number of ranges follows the
-bytes of the texts, without a cap. Null doc_ids come last, in ranges of the hash of their text; rows of equal
+row finds its successor in a copy of the next range's first document, which is sent along. The number of ranges, and of the
+partitions they are dealt to, follows the bytes of the texts, without a cap. Null doc_ids come last, in ranges of the hash of their text; rows of equal
 doc_id are ordered by a hash of their text, and the last document is followed by the first.
 
 Nulls: a null text counts as empty; an empty text has an empty fingerprint, which is like another
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import bound, range_count, table
 
-#: Code points of a gram (a power of two), grams of a window.
+#: Code points of a gram (BASE times a power of two), grams of a window.
 K, W = 16, 32
+BASE = 8
 #: Bits of a place: a text has fewer bytes than that.
 PLACE_BITS = 31
 LAST = (1 << PLACE_BITS) - 1
@@ -54,7 +55,8 @@ def _pairs(of: Column, m: int, f) -> Column:
 
 def grams(text: Column, k: int = K) -> Column:
     """The hashes of all grams of a text, by place."""
-    out, m = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{BASE}}}))."), F.lit(1))
+    out, m = F.transform(runs, lambda x: F.xxhash64(x)), BASE
     while m < k:
         out = _pairs(out, m, _rolled(m))
         m *= 2
@@ -120,7 +122,7 @@ def _range_of(doc_id: Column, h: Column, starts: list[int], null_bits: int) -> C
     return F.when(doc_id.isNull(), F.lit(len(starts) + 1).cast("long") + of_null).otherwise(found.cast("long"))
 
 
-def with_next(docs: DataFrame, range_bytes: int = 4 << 20, most_range_bytes: int = 512 << 20) -> DataFrame:
+def with_next(docs: DataFrame, range_bytes: int = 1 << 20, most_range_bytes: int = 512 << 20) -> DataFrame:
     """(doc_id, text, range, guest, h, next_text) of every row, and of guests: the rows of other ranges sent along.
 
     Ranges have range_bytes of text, from 4096 of them on more, up to most_range_bytes. The driver holds the
@@ -133,7 +135,7 @@ def with_next(docs: DataFrame, range_bytes: int = 4 << 20, most_range_bytes: int
     starts: list[int] = []
     if ranges > 1 and n > n_null:
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-        starts = sorted(r[0] for r in ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())
+        starts = sorted(r["first"] for r in ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first")).collect())
     null_bits = (n_null * ranges // max(n, 1)).bit_length() if ranges > 1 else 0
     ranged = rows.withColumn("range", _range_of(F.col("doc_id"), F.col("h"), starts, null_bits))
     order = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "h")
@@ -145,7 +147,7 @@ def with_next(docs: DataFrame, range_bytes: int = 4 << 20, most_range_bytes: int
         first = F.broadcast(docs.sparkSession.createDataFrame(sent, "first_id long, first_h long, to_range long"))
         guests = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
         every = every.unionByName(guests.select("doc_id", "text", "h", F.col("to_range").alias("range"), F.lit(True).alias("guest")))
-    return every.withColumn("next_text", F.lead("text").over(_order()))
+    return every.repartition(ranges, "range").withColumn("next_text", F.lead("text").over(_order()))
 
 
 def _order():
