@@ -34,7 +34,7 @@ def bound(x: Column, f) -> Column:
 
 
 #: Most keys that `joined` treats as heavy, and fewest rows of one.
-MOST_HEAVY, LEAST_HEAVY = 1 << 16, 1 << 12
+MOST_HEAVY, LEAST_HEAVY = 1 << 16, 1 << 10
 
 
 def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -60,3 +60,22 @@ def test_hard_rows(spark):
     ids = [r.doc_id for r in out]
     assert ids.count(None) == 2 and {0, 3, 4, 9, 50, 52} <= set(ids) and not {1, 2, 10, 51} & set(ids)
     assert near_copies.kept_ones(documents(spark, [])).count() == 0
+
+
+def test_large_groups_are_taken_apart_exactly(spark):
+    """With room for few shingles in a task, groups meet by key, in chunks and pairs of chunks, and link the same pairs."""
+    rng, rows = random.Random(9), []
+    for g in range(6):
+        shared = [f"s{g}w{i}" for i in range(60)]  # texts that share two thirds, in clusters that are close
+        for c in range(4):
+            own = [f"s{g}c{c}w{i}" for i in range(25)]
+            for _ in range(8):
+                new = [*shared, *own]
+                new[rng.randrange(len(new))] = f"n{rng.randrange(10**6)}"
+                rows.append(new)
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)] + [(1000 + i, t) for i, (_, t) in enumerate(corpus())]
+    docs = documents(spark, rows)
+    want = brute(rows)
+    for held in (1 << 22, 1500, 300):
+        gone = near_copies.classes(docs, held=held).where("doc_id <> component_id").select("doc_id").collect()
+        assert sorted({d for d, _ in rows} - {r.doc_id for r in gone}) == want, held
