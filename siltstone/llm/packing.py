@@ -118,8 +118,9 @@ def packed(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int =
     pieces = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_file, end_id, window), PIECES), "pack-pieces")
     groups = -(-pieces.count() // group_pieces) or 1
     named = ("doc_id", "start", "ids_crc32")
-    many = pieces.groupBy(*named).count().where(F.col("count") > group_pieces // 4)
-    many = staged(many.select(*(F.col(c).alias(f"many_{c}") for c in named), F.ceil(F.col("count") / (group_pieces // 4)).alias("shares")), "pack-many")
+    share = max(1, group_pieces // 4)
+    many = pieces.groupBy(*named).count().where(F.col("count") > share)
+    many = staged(many.select(*(F.col(c).alias(f"many_{c}") for c in named), F.ceil(F.col("count") / share).alias("shares")), "pack-many")
     salt = F.lit(0).cast("long")
     if not many.isEmpty():  # the pieces are a written table, so a row's number is the same in every attempt
         pieces = pieces.withColumn("row_no", F.monotonically_increasing_id())

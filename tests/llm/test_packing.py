@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import packing
@@ -23,7 +24,7 @@ def plain_ids(text):
 def test_encoder_equals_the_library():
     encode = Encoder(FILE)
     rng = random.Random(1)
-    pieces = ["a", "Word", " ", "  ", "\n", "\t", "1", "'s", "é", "　", "\x1f", "!!", "日本", "\x00", "don't", "word...", "'s", "_", "naïve", "!?"]
+    pieces = ["a", "Word", " ", "  ", "\n", "\t", "1", "'s", "é", "　", "\x1f", "!!", "日本", "\x00", "don't", "word...", "'s", "_", "naïve", "!?", "<|endoftext|>", "<|", "|>"]
     for text in [*texts(), *("".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(2000))]:
         assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain_ids(text), repr(text)
 
@@ -76,5 +77,15 @@ def test_packs_every_id_once(spark):
     assert sum(r.length for r in out) > 0.98 * 32 * (len(sequences) - 1)
 
 
+def test_many_equal_pieces_are_dealt_to_several_groups(spark):
+    out, _ = check(spark, [*((None, "same") for _ in range(400)), *((i, f"text {i}") for i in range(100))], 16, group_pieces=50)
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r.sequence_id >> packing.GROUP_BITS] += 1
+    assert len(sizes) > 5 and max(sizes.values()) < 150
+    docs = documents(spark, [(1, "a b"), (2, None)]).withColumns({c: F.lit("clash") for c in ("start", "length", "pack_group", "row_no", "shares", "ids_crc32")})
+    assert packing.packed(docs, FILE).count() == 2
+
+
 def test_empty(spark):
     assert packing.packed(documents(spark, []), FILE).count() == 0

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import token_files, wavelet
@@ -37,7 +38,8 @@ def test_wavelet_round_trip_and_lookups(monkeypatch):
 def test_files_hold_every_id(spark):
     rows = [*((i * 3 % 11, t) for i, t in enumerate(texts())), (None, "null id"), (5, "twice"), (5, "twice"), (2**40, "far")]
     folder = shared_path(spark, "token-files")
-    files = token_files.write_token_files(documents(spark, rows), folder, FILE, shard_ids=500, docs_per_range=4)
+    docs = documents(spark, rows).withColumns({c: F.lit("clash") for c in ("file", "part", "start", "base", "n_tokens")})
+    files = token_files.write_token_files(docs, folder, FILE, shard_ids=500, range_bytes=2000)
     assert files.count() > 3
     out = token_files.read_token_files(spark, folder, files).orderBy("start").collect()
     ids = [r.doc_id for r in out]
