@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.staging import shared_dir, shared_path, staged
 
-__all__ = ["WORD", "bound", "joined", "range_count", "range_count", "shared_dir", "shared_path", "staged", "table", "texts", "word_count"]
+__all__ = ["WORD", "bound", "joined", "let_go", "range_count", "shared_dir", "shared_path", "staged", "table", "texts", "word_count"]
 
 #: A word: a run of code points other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,16 +41,23 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> D
     """rows with the facts of their key; facts holds each key once, with the number n of its rows among all `total`.
 
     Keys of more than total / MOST_HEAVY rows are at most MOST_HEAVY, so their facts can be broadcast and
-    no task gets all rows of one. The rest is dealt by key.
+    no task gets all rows of one. The rest is dealt by key. The facts are written, so that a look shows whether there are such keys.
     """
     if total <= LEAST_HEAVY:
         return rows.join(facts, key)
-    heavy = F.col(n) > max(total // MOST_HEAVY, LEAST_HEAVY)
+    facts, heavy = staged(facts, "facts"), F.col(n) > max(total // MOST_HEAVY, LEAST_HEAVY)
     few = facts.where(heavy)
+    if few.isEmpty():
+        return rows.join(facts, key)
     light = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~heavy), key)
     return rows.join(F.broadcast(few), key).unionByName(light)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect what finished jobs hold, as Spark does every half hour; for ends of loops of many small jobs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def range_count(size: int, least: int = 4 << 20, most: int = 512 << 20) -> int:
     """Number of ranges for so many bytes of text: each has `least` bytes, from 4096 ranges on more, up to `most`."""
     return max(1, min(4096, size // least), size // most)

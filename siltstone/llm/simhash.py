@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import joined, shared_path, staged, texts
+from siltstone.llm.common import joined, let_go, shared_path, staged, texts
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: An odd factor mixes 64 bits one to one; its inverse undoes it.
@@ -233,6 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
+            let_go(edges.sparkSession)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
         now = staged(_stars(now, mark[0]), "components")
