@@ -2,9 +2,9 @@ r"""Document fingerprints by winnowing, in DataFrame functions only.
 
 Every run of k code points of a text is a gram. Its hash is rolled from those of shorter runs, as a cyclic polynomial is:
 the hash of 2m code points is that of the first m, rotated by m, xor that of the next m. The shortest runs, of BASE code points
-at every place, are hashed by XXH64, so each is read once for all grams it lies in. Of every window of w grams the least hash (by its upper 32 bits) is kept, the
+at every place, are hashed by XXH64, so each is read once for all grams it lies in. Of every window of w grams the least hash (by its upper 33 bits, signed) is kept, the
 rightmost of equal ones; windows grow and shrink at the edges, so a text keeps its first and last gram. Window minima
-double in the same way. Each kept gram has its hash and its place, the number of code points before it.
+grow fourfold from pass to pass. Each kept gram has its hash and its place, the number of code points before it.
 Any run of w + k - 1 code points that two texts share, wherever it lies in them, has a common hash. A text shorter
 than a gram is one gram. The likeness of two fingerprints is the share of common hashes among all of theirs.
 
@@ -64,15 +64,19 @@ def grams(text: Column, k: int = K) -> Column:
     return F.when(F.length(text) >= k, out).otherwise(alone)
 
 
+def _least(of: Column, steps: list[int]) -> Column:
+    """The least of each element and those behind by the steps; what is beyond the end does not count."""
+    return bound(of, lambda a: F.transform(a, lambda x, i: F.least(x, *(F.get(a, i + j) for j in steps))))
+
+
 def minima(hashes: Column, growing: Column, w: int = W) -> Column:
-    """The least of each window as 32 bits of hash above the place, which falls; windows shrink at the end and, if growing, grow at the start."""
+    """The least of each window as 33 bits of hash above the place, which falls; windows shrink at the end and, if growing, grow at the start."""
     missing = F.array_repeat(F.lit(None).cast("long"), w - 1)
-    keys = F.transform(hashes, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 32), PLACE_BITS).bitwiseOR((F.lit(LAST) - i).cast("long")))
-    out, m = F.concat(F.when(growing, missing).otherwise(F.array().cast(NONE)), keys, missing), 1
-    while m < w:
-        step = min(m, w - m)
-        out = _pairs(out, step, lambda x, y: F.least(x, y))
-        m += step
+    keys = F.transform(hashes, lambda x, i: x.bitwiseOR(F.lit(LAST).cast("long")).bitwiseXOR(i.cast("long")))
+    out, m = F.concat(F.when(growing, missing).otherwise(F.array().cast(NONE)), keys), 1
+    while m < w:  # windows of m elements become such of up to four times as many
+        steps = [min(j * m, w - m) for j in (1, 2, 3) if (j - 1) * m < w - m]
+        out, m = _least(out, steps), m + steps[-1]
     return F.when(F.size(hashes) > 0, out).otherwise(F.array().cast(NONE))
 
 

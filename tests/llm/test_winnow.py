@@ -20,6 +20,10 @@ def rolled(run):
     return (h << m & ONES | h >> (64 - m)) ^ rolled(run[m:])
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def plain(text, k=winnow.K, w=winnow.W):
     """Set of (hash, place), by all windows."""
     if not text:
@@ -28,7 +32,7 @@ def plain(text, k=winnow.K, w=winnow.W):
     out = set()
     for s in range(1 - w, len(grams)):
         window = range(max(0, s), min(len(grams), s + w))
-        out.add(min(window, key=lambda i: (grams[i] >> 32, -i)))
+        out.add(min(window, key=lambda i: (signed(grams[i]) >> 31, -i)))
     return {(grams[i] & ((1 << 48) - 1), i) for i in out}
 
 
