@@ -13,7 +13,7 @@ from siltstone import schema as S
 from siltstone.functions import paths
 from siltstone.operators import delta as D
 from siltstone.operators import patch, search, snapshot
-from siltstone.plans.staging import shared_path, staged
+from siltstone.plans.staging import shared_path, shuffles_dropped, staged
 from siltstone.sources import archive, extract
 
 #: Paths that show the safety rules.
@@ -262,9 +262,13 @@ def extract_subfolder(spark, d):
 
 def apply_to_folder(spark, d):
     """A patch brought to a folder of old files, which then holds the new ones."""
+    archive.register(spark)
     folder, old = _folder(spark, "patched"), old_contents(spark, d)
+    # the patch is made before the files are there, so that its shuffles and they never share the disk
+    with shuffles_dropped(spark):
+        made = staged(patch.create(old, new_contents(spark, d)), "patch")
+        results = staged(patch.outcome(old, made), "patch-results")
     extract.extract(old, folder).write.format("noop").mode("overwrite").save()
-    results = staged(patch.outcome(old, patch.create(old, new_contents(spark, d))), "patch-results")
     extract.apply_outcome(results, folder).write.format("noop").mode("overwrite").save()
     return spark.read.format("siltstone_folder").options(path=folder, contents="false").load().select("path", "data_size", "hash")
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import random
@@ -10,7 +11,7 @@ from siltstone import schema as S
 from siltstone.functions import paths
 from siltstone.operators import delta as D
 from siltstone.operators import patch, search, snapshot
-from siltstone.plans import staging
+from siltstone.plans import catalogue, staging
 from siltstone.sources import archive, extract
 
 HELLO = "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
@@ -261,3 +262,12 @@ def test_written_tables_can_be_removed(spark):
         assert staging.cleaned(spark) == 1 and not os.path.exists(path)
     finally:
         staging._written.extend(held)
+
+
+def test_apply_to_folder_registers_its_source(spark, tmp_path):
+    """In a session where nothing was registered before."""
+    rows = [(i, f"text {i}", "en", "src1") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalogue.apply_to_folder(spark.newSession(), str(tmp_path)).collect()
+    want = {f"src1/en/{i}.txt": f"text {i}{' v2' if i % 5 == 0 else ''}" for i in range(20) if i % 10 != 7}
+    assert {(r.path, r.data_size, r.hash) for r in out} == {(p, len(t), hashlib.sha256(t.encode()).hexdigest()) for p, t in want.items()}
