@@ -1,16 +1,18 @@
-"""Near copies by their word shingles: candidates by MinHash bands, each verified by its exact Jaccard similarity.
+"""Near copies: candidates by SimHash and by MinHash bands, each verified by its exact Jaccard similarity.
 
 A text's set holds the hashes of its lower-cased runs of five words (all words, if there are fewer).
-Equal sets are one node. Each node has BANDS keys, each made of ROWS minima of its set; nodes that share
-a key are candidates: of pairs at a similarity s, (1 - s^ROWS)^BANDS are missed, 3 in a million at 0.8.
-Keys give candidate groups, dealt whole with one text for each node; there, pairs that share a
-key are linked if the Jaccard similarity of their sets reaches the threshold. Pairs already joined by
+Equal sets are one node. Each node has the SimHash of its set; `simhash.close_classes`, op 4's ball hashing, gives
+the classes linked by RADIUS bits, and pairs of a class within RADIUS bits are candidates. Sets at a similarity of 0.8 mostly
+differ in more bits, and no radius that can be listed reaches them. So each node also has BANDS keys, each made of ROWS minima of its
+set, and nodes that share a key are candidates too: of pairs at a similarity s, these miss (1 - s^ROWS)^BANDS, 3 in a million at 0.8.
+Keys and classes give candidate groups, dealt whole with one text for each node; there,
+candidates are linked if the Jaccard similarity of their sets reaches the threshold. Pairs already joined by
 verified links are not compared again, so a group of close copies costs about one comparison for each.
 
 No task holds more than about HELD_SHINGLES, eight bytes each, and one set. A candidate group with more is taken apart: its
-nodes meet by key instead, a few keys at a time, a key with many nodes in chunks of them. What a round links is contracted
+nodes meet by class and by key instead, a few keys at a time, a key with many nodes in chunks of them. What a round links is contracted
 to classes, and only keys that still have several classes go on: dealt to other chunks twice, which joins the classes of
-one cluster, and then, for the few left, by all pairs of chunks. So every pair that shares a key is joined or compared.
+one cluster, and then, for the few left, by all pairs of chunks. So every candidate pair is joined or compared.
 Sets are told apart by 64 bits.
 
 Nulls: a null text counts as empty, and empty texts are copies of each other. Documents without doc_id
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import joined, staged
-from siltstone.llm.simhash import HELD, MIX, Forest, _contracted, _shuffles_dropped, components
+from siltstone.llm.simhash import HELD, MIX, Forest, _contracted, _shuffles_dropped, close_classes, components
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Shingles of the sets that a task holds, and the bands that large groups meet by, together.
+#: Bits in which the SimHashes of candidates differ at most.
+RADIUS = 4
+#: Shingles of the sets that a task holds, and the bands that large groups meet by, together; the one behind all others is the class.
 HELD_SHINGLES = 1 << 22
-BAND_SETS = [range(1), range(1, 6), range(6, BANDS)]
+BAND_SETS = [range(BANDS, BANDS + 1), range(1), range(1, 6), range(6, BANDS)]
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
 _FLIPS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint32(1)
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,6 +60,14 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """64-bit SimHash of a set, zero of an empty one."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def keys(h: np.ndarray) -> np.ndarray:
     """The BANDS keys of a set."""
     least, x = np.full(BANDS * ROWS, 2**32 - 1, np.uint32), (h >> np.uint64(32)).astype(np.uint32)
@@ -69,8 +81,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(x) for x in batch.column("text").to_pylist()]
         nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64)
         bands = [keys(h).tobytes() for h in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), pa.array(bands, pa.binary())], names=["doc_id", "text", "node", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps), pa.array(bands, pa.binary())], names=["doc_id", "text", "node", "n", "fp", "bands"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +125,23 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return common / (small + large - common) >= least
 
 
-def verified(members: list[tuple[int, np.ndarray]], least: float = LEAST) -> Forest:
-    """(node, set) of a candidate group -> its verified links."""
+def verified(members: list[tuple[int, np.ndarray, int]], least: float = LEAST) -> Forest:
+    """(node, set, SimHash class) of a candidate group -> its verified links."""
     forest = Forest()
-    shared: dict[int, list[list[int]]] = {}  # by key: members so far, those of one component together
-    for i, (node, mine) in enumerate(members):
+    prints = [fingerprint(held) for _, held, _ in members]
+    # by key, and by class: members so far, those of one component together
+    shared: dict[tuple[bool, int], list[list[int]]] = {}
+    for i, (node, mine, its_class) in enumerate(members):
         forest.link(node, node)
         failed: set[int] = set()
-        for key in keys(mine).tolist():
+        for by_class, key in [(True, its_class), *((False, key) for key in keys(mine).tolist())]:
             ours, others = [i], []
-            for group in shared.get(key, ()):
+            for group in shared.get((by_class, key), ()):
                 if forest.root(members[group[0]][0]) != forest.root(node):
                     for j in group:
-                        if j not in failed and similar(mine, members[j][1], least):
+                        if j in failed or by_class and (prints[i] ^ prints[j]).bit_count() > RADIUS:
+                            continue
+                        if similar(mine, members[j][1], least):
                             forest.link(node, members[j][0])
                             break
                         failed.add(j)
@@ -133,7 +150,7 @@ def verified(members: list[tuple[int, np.ndarray]], least: float = LEAST) -> For
                     ours.extend(less)
                 else:
                     others.append(group)
-            shared[key] = [*others, ours]
+            shared[by_class, key] = [*others, ours]
     return forest
 
 
@@ -141,9 +158,9 @@ def _verified(least: float, stored: bool = False):
     """Rows sorted by group, with texts or with stored sets -> the verified links of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("root", "node", "held"))))
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("root", "node", "held", "class"))))
         for _, group in groupby(rows, lambda r: r[0]):
-            yield _report(verified([(node, np.frombuffer(x, np.uint64) if stored else shingles(x)) for _, node, x in group], least))
+            yield _report(verified([(node, np.frombuffer(x, np.uint64) if stored else shingles(x), c) for _, node, x, c in group], least))
 
     return run
 
@@ -151,7 +168,7 @@ def _verified(least: float, stored: bool = False):
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = pa.array([shingles(x).tobytes() for x in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("bands"), sets], names=["node", "n", "bands", "held"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "bands", "class")] + [sets], names=["node", "n", "bands", "class", "held"])
 
 
 def _by_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +179,10 @@ def _by_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_by_key(rows: DataFrame, least: float, held: int) -> DataFrame:
-    """(node, n, bands, text) of nodes in large groups -> (node, root) by all verified links of pairs that share a key."""
-    sets = staged(rows.select("node", "n", "bands", "text").mapInArrow(_stored, "node long, n long, bands binary, held binary"), "near-sets")
-    entries = staged(sets.select("node", "n", "bands").mapInArrow(_by_band, "band int, key long, node long, n long"), "near-entries")
+    """(node, n, bands, class, text) of nodes in large groups -> (node, root) by all verified links of candidate pairs."""
+    sets = staged(rows.select("node", "n", "bands", "class", "text").mapInArrow(_stored, "node long, n long, bands binary, class long, held binary"), "near-sets")
+    entries = sets.select("node", "n", "bands").mapInArrow(_by_band, "band int, key long, node long, n long")
+    entries = staged(entries.unionByName(sets.select(F.lit(BANDS).alias("band"), _class_key().alias("key"), "node", "n")), "near-entries")
     count, labels = sets.count(), sets.select(F.col("node").alias("fp"), F.col("node").alias("root"))
     for bands in BAND_SETS:
         for deal in (0, 1, 2, None):
@@ -183,31 +201,44 @@ def linked_by_key(rows: DataFrame, least: float, held: int) -> DataFrame:
                 group = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
             else:
                 group = F.xxhash64("key", "chunk")
-            held_rows = dealt.select(group.alias("root"), "node").distinct().join(sets.select("node", "held"), "node").select("root", "node", "held")
+            held_rows = dealt.select(group.alias("root"), "node").distinct().join(sets.select("node", "held", "class"), "node").select("root", "node", "held", "class")
             links = staged(held_rows.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_verified(least, True), "a long, b long"), "near-links")
             labels = _contracted(labels, components(links), count)
     return labels.select(F.col("fp").alias("node"), "root")
 
 
+def _class_key():
+    return F.xxhash64("class", F.lit("SimHash"))
+
+
+def alike(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """Nodes with fp, their SimHash -> the same with class, the least fp that theirs is linked to step by step within RADIUS bits."""
+    prints = staged(nodes.groupBy("fp").agg(F.count("*").alias("n_alike")), "near-fingerprints")
+    named = close_classes(prints.select("fp"), RADIUS).select("fp", F.col("root").alias("class"))
+    return joined(nodes, prints.join(named, "fp"), "fp", "n_alike", n_nodes).drop("n_alike")
+
+
 def classes(docs: DataFrame, least: float = LEAST, held: int = HELD_SHINGLES) -> DataFrame:
     """documents -> (doc_id, component_id)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = staged(rows.mapInArrow(_prints, "doc_id long, text string, node long, n long, bands binary").withColumn("row_no", F.monotonically_increasing_id()), "near-prints")
+    prints = staged(rows.mapInArrow(_prints, "doc_id long, text string, node long, n long, fp long, bands binary").withColumn("row_no", F.monotonically_increasing_id()), "near-prints")
     # the text and the keys of a node are those of its first row
-    nodes = staged(prints.groupBy("node").agg(F.min("row_no").alias("first_row"), F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.count("*").alias("n_rows")), "near-nodes")
+    nodes = staged(prints.groupBy("node").agg(F.min("row_no").alias("first_row"), F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.count("*").alias("n_rows")), "near-nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    nodes = staged(alike(nodes, n_nodes), "near-alike")
     with _shuffles_dropped(docs.sparkSession):
         entries = prints.join(nodes.select("first_row"), F.col("row_no") == F.col("first_row"), "left_semi").select("node", "bands").mapInArrow(_entries, "key long, node long")
+        entries = entries.unionByName(nodes.select(_class_key().alias("key"), "node"))
         links = staged(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long"), "near-candidates")
         groups = components(links)
         groups = staged(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "near-groups")
-        firsts = nodes.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("first_row", "root", "n")
+        firsts = nodes.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("first_row", "root", "n", "class")
         firsts = staged(firsts, "near-firsts")
         sizes = staged(firsts.groupBy("root").agg(F.sum("n").alias("size"), F.count("*").alias("n_nodes")), "near-sizes")
-        sized = staged(joined(firsts, sizes, "root", "n_nodes", n_nodes).select("first_row", "root", "size"), "near-sized")
-        small, large = (sized.where(x).select("first_row", "root") for x in (F.col("size") <= held, F.col("size") > held))
+        sized = staged(joined(firsts, sizes, "root", "n_nodes", n_nodes).select("first_row", "root", "size", "class"), "near-sized")
+        small, large = (sized.where(x).select("first_row", "root", "class") for x in (F.col("size") <= held, F.col("size") > held))
         # dealt by row at every size: only small tables of candidates could be broadcast
-        texts = prints.join(small.hint("merge"), F.col("row_no") == F.col("first_row")).select("root", "node", F.col("text").alias("held"))
+        texts = prints.join(small.hint("merge"), F.col("row_no") == F.col("first_row")).select("root", "node", F.col("text").alias("held"), "class")
         pairs = staged(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_verified(least), "a long, b long"), "near-links")
         if not sizes.where(F.col("size") > held).isEmpty():
             named = linked_by_key(prints.join(large, F.col("row_no") == F.col("first_row")), least, held)

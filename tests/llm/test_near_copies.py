@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from siltstone.llm import near_copies, simhash
 from tests.llm.helpers import documents, texts
 
@@ -79,3 +81,30 @@ def test_large_groups_are_taken_apart_exactly(spark):
     for held in (300,):
         gone = near_copies.classes(docs, held=held).where("doc_id <> component_id").select("doc_id").collect()
         assert sorted({d for d, _ in rows} - {r.doc_id for r in gone}) == want, held
+
+
+def test_simhash_finds_what_no_band_does(spark):
+    """Words added until the sets share no band; within the radius and at 0.8, they are candidates by SimHash alone."""
+    rng = random.Random(4)
+    for _ in range(40):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        b, apart = list(a), 0
+        while apart < near_copies.BANDS and len(b) < 370:
+            tried = [[*b, f"n{rng.randrange(10**6)}"] for _ in range(40)]
+            apart, b = max((int(np.sum(bands(a) != bands(x))), x) for x in tried)
+        if apart == near_copies.BANDS and (prints(a) ^ prints(b)).bit_count() <= near_copies.RADIUS and jaccard(shingle_set(" ".join(a)), shingle_set(" ".join(b))) >= 0.8:
+            break
+    else:
+        raise AssertionError("no such pair")
+    rows = [(7, " ".join(a)), (3, " ".join(b)), (5, "another text of other words here")]
+    for held in (near_copies.HELD_SHINGLES, 100):
+        out = {r.doc_id: r.component_id for r in near_copies.classes(documents(spark, rows), held=held).collect()}
+        assert out == {7: 3, 3: 3, 5: 5}, held
+
+
+def bands(words):
+    return near_copies.keys(near_copies.shingles(" ".join(words)))
+
+
+def prints(words):
+    return near_copies.fingerprint(near_copies.shingles(" ".join(words)))
