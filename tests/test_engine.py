@@ -267,7 +267,12 @@ def test_written_tables_can_be_removed(spark):
 def test_apply_to_folder_registers_its_source(spark, tmp_path):
     """In a session where nothing was registered before."""
     rows = [(i, f"text {i}", "en", "src1") for i in range(20)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    out = catalogue.apply_to_folder(spark.newSession(), str(tmp_path)).collect()
+    alone = spark.newSession()
+    try:
+        # createDataFrame makes its session the active one, in which Spark looks sources up
+        alone.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+        out = catalogue.apply_to_folder(alone, str(tmp_path)).collect()
+    finally:
+        spark.createDataFrame([(0,)], "x int")
     want = {f"src1/en/{i}.txt": f"text {i}{' v2' if i % 5 == 0 else ''}" for i in range(20) if i % 10 != 7}
     assert {(r.path, r.data_size, r.hash) for r in out} == {(p, len(t), hashlib.sha256(t.encode()).hexdigest()) for p, t in want.items()}
