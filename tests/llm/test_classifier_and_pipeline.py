@@ -1,11 +1,14 @@
 import math
+import os
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -156,3 +159,28 @@ def test_pipeline_on_hard_rows(spark, tmp_path):
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
     assert not through(spark, tmp_path, documents(spark, []), [])["pack"]
+
+
+def test_stages_start_with_what_the_driver_freed_given_back(spark):
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+    if not os.path.exists(status):
+        pytest.skip("memory can't be read here")
+
+    def held() -> float:
+        with open(status) as lines:
+            return next(int(x.split()[1]) / 1024 for x in lines if x.startswith("VmRSS"))
+
+    # freed memory of the C library below a block that stays
+    taken = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    for x in taken[:-1]:
+        x.end()
+    for _ in range(3):
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = held()
+    stage = dict(corpus_pipeline.STAGES)["personal_data"]
+    assert stage(spark, documents(spark, [(1, "a")]), "").columns[0] == "doc_id"
+    after = held()
+    taken[-1].end()
+    assert after < before - 30
