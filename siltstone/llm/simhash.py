@@ -12,8 +12,8 @@ owners of one class make no more links. So a dense group, which would be linked
 
 An entry is sixteen bytes. The bucket names the upper bits of the mixed variant; the rest and the number
 of the flipped bits fit in 64 bits and give back variant and owner exactly; the other eight are the class. The disk
-holds one pass's shuffle at a time. Components come from alternating star contractions over written tables; hubs
-of many links are joined by a broadcast of bounded size.
+holds one pass's shuffle at a time. Components come from alternating star contractions over written tables, hubs
+of many links being joined by a broadcast of bounded size, until so few links are left that a task may hold them: one task ends those.
 
 Nulls: a null text counts as empty, with fingerprint zero. A null doc_id never names a
 component that has another document; a component of null doc_ids alone has a null name. Repeated rows
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import joined, let_go, shared_path, staged, texts
+from siltstone.llm.common import MOST_HEAVY, joined, let_go, shared_path, staged, texts
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: An odd factor mixes 64 bits one to one; its inverse undoes it.
@@ -43,7 +43,7 @@ PARITIES = np.random.default_rng(11).integers(1, 1 << 63, 6).astype(np.uint64) *
 PASSES = [range(1), range(1, 8), *(range(at, at + 8) for at in range(8, 64, 8))]
 #: Passes after which the links so far are contracted.
 CONTRACTED = 2
-#: Links that a task holds before it reports them.
+#: Links that a task holds before it reports them, and up to which one task names the components.
 HELD = 1 << 19
 
 
@@ -211,7 +211,8 @@ def close_classes(fps: DataFrame, radius: int = 4, bucket_rows: int = 1 << 20) -
             for passing in passes:
                 variants = n * len(masks) * len(passing) // 64
                 bits = min(40, max(len(masks).bit_length(), (variants // bucket_rows).bit_length()))
-                dealt = named.repartition(-(-n // 8192) or 1, "fp").mapInArrow(_emit(radius, bits, passing), "bucket long, entries binary, roots binary")
+                # even shares whatever the keys: each share sends a row for every bucket, so many small ones would cost more than their entries
+                dealt = named.repartition(-(-n // 8192) or 1).mapInArrow(_emit(radius, bits, passing), "bucket long, entries binary, roots binary")
                 dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius, bits), "a long, b long").write.mode("append").parquet(path)
         named = _contracted(named, components(spark.read.schema("a long, b long").parquet(path)), n)
     return named
@@ -219,24 +220,41 @@ def close_classes(fps: DataFrame, radius: int = 4, bucket_rows: int = 1 << 20) -
 
 def _contracted(named: DataFrame, stars: DataFrame, n: int) -> DataFrame:
     """(fp, root) with the roots of stars (node, root) in place of their nodes."""
+    moves = stars.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    if stars.count() <= MOST_HEAVY:
+        return staged(named.join(F.broadcast(moves), F.col("root") == F.col("of"), "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-named")
     sizes = named.groupBy("root").agg(F.count("*").alias("n"))
-    facts = sizes.join(stars.select(F.col("node").alias("of"), F.col("root").alias("to")), F.col("root") == F.col("of"), "left").select("root", "n", F.coalesce("to", "root").alias("to"))
+    facts = sizes.join(moves, F.col("root") == F.col("of"), "left").select("root", "n", F.coalesce("to", "root").alias("to"))
     return staged(joined(named, facts, "root", "n", n).select("fp", F.col("to").alias("root")), "simhash-named")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (node, root): every node but the roots with the least node of its component.
 
-    Large and small stars alternate until nothing changes; each round is a written table.
+    Large and small stars alternate until nothing changes or HELD edges at most are left, which one task turns into trees; each
+    round is a written table.
     """
-    now, seen = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components"), None
+    now, seen = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "components"), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            let_go(edges.sparkSession)
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
+        if mark[0] <= HELD:
+            now = staged(now.coalesce(1).mapInArrow(_trees, "a long, b long"), "components")
+            break
         seen = mark
         now = staged(_stars(now, mark[0]), "components")
+    let_go(edges.sparkSession)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> every node but the roots with its root."""
+    forest = Forest()
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.link(x, y)
+    yield _report(forest)
 
 
 def _stars(edges: DataFrame, n: int) -> DataFrame:

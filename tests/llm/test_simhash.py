@@ -76,6 +76,42 @@ def test_hubs(spark):
     assert got == {**{i: 0 for i in [*range(1, 6001), 7000]}, **{i: 9000 for i in range(9001, 14500)}}
 
 
+def test_stars_and_trees_agree(spark, monkeypatch):
+    """Star rounds alone, rounds that leave the rest to one task, and that task alone."""
+    rng = random.Random(9)
+    edges = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(400)] + [(2000, i) for i in range(2001, 3500)] + [(5, 5), (1, 2), (2, 1)]
+    got = []
+    for held in (-1, 1700, 1 << 19):
+        monkeypatch.setattr(simhash, "HELD", held)
+        got.append({r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()})
+    assert got[0] == got[1] == got[2]
+    least = {}
+    for x in {x for e in edges for x in e}:
+        least.setdefault(got[0].get(x, x), set()).add(x)
+    assert all(min(nodes) == root for root, nodes in least.items())
+    assert all(got[0].get(a, a) == got[0].get(b, b) for a, b in edges)
+
+
+def test_contracted_by_broadcast_and_by_key(spark, monkeypatch):
+    named = spark.createDataFrame([(i, i % 40) for i in range(3000)], "fp long, root long")
+    stars = spark.createDataFrame([(i, i % 7) for i in range(7, 40, 2)], "node long, root long")
+    want = {(i, (i % 40) % 7 if i % 40 in range(7, 40, 2) else i % 40) for i in range(3000)}
+    for most in (simhash.MOST_HEAVY, 3):
+        monkeypatch.setattr(simhash, "MOST_HEAVY", most)
+        assert set(map(tuple, simhash._contracted(named, stars, 3000).collect())) == want
+
+
+def test_few_links_take_few_jobs(spark):
+    """A chain took dozens of jobs in star rounds, each with all partitions of a shuffle."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "components")
+    try:
+        assert simhash.components(edges).count() == 300
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_parities_deal_every_variant_once():
     masks = simhash.flips(4)
     x = np.uint64(0x0123456789ABCDEF)
