@@ -55,7 +55,7 @@ def _write(folder: str, tokenizer_file: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode, end = TaskContext.get().partitionId(), encoder(tokenizer_file).ids, end_id.to_bytes(4, "little")
+        part, encode, end = TaskContext.get().partitionId(), encoder(tokenizer_file).ids_of_all, end_id.to_bytes(4, "little")
         done, held, doc_ids, gathered = [], [], [], 0
 
         def close() -> None:
@@ -68,8 +68,8 @@ def _write(folder: str, tokenizer_file: str, end_id: int, shard_ids: int):
             held, doc_ids, gathered = [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(encode(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(text.as_py() for text in batch.column(1))):
+                held.append(ids + end)
                 doc_ids.append(doc_id)
                 gathered += len(held[-1]) // 4
                 if gathered >= shard_ids:

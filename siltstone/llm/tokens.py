@@ -3,7 +3,8 @@
 A byte-level BPE of the usual split pattern never merges across a single space or line feed
 that stands between two other non-blank characters: the space opens the next piece and the line
 feed is a piece of its own. A text without blanks side by side can thus be cut there, and equal
-cuts get equal ids, so each worker encodes a frequent word once. Any other text is cut only at
+cuts get equal ids, so each worker encodes a frequent word once. Many such texts are cut together, as bytes, and each
+distinct cut of theirs is looked up once. Any other text is cut only at
 single spaces between two non-blanks, by a pattern. The strings of special tokens are found as the library finds them:
 they have neither blanks nor letters alone, so no cut divides one and each goes to the library whole.
 """
@@ -13,9 +14,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 #: Most words that one worker remembers, and the longest of them in characters.
 MEMORY, LONGEST = 1_200_000, 48
+#: Bytes of texts that are cut together.
+TOGETHER = 4 << 20
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A cut that is one piece, of Latin letters, or two, with marks behind them.
@@ -33,6 +40,12 @@ _SIGNS = _byte_signs()
 _SPACE = chr(_SIGNS[32])
 
 
+def _plain(text: str) -> bool:
+    """No blanks side by side or at an end, and none but spaces and line feeds."""
+    flat = text.replace("\n", " ")
+    return flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
+
+
 class Encoder(dict):
     """A mapping of text cuts to their ids as unsigned 32-bit integers of a little-endian machine."""
 
@@ -63,13 +76,51 @@ class Encoder(dict):
         """The ids of a whole text; null counts as empty."""
         if not text:
             return b""
-        flat = text.replace("\n", " ")
-        if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":  # blanks side by side or at an end, or others
-            cuts = _CUT.split(text)
-        else:
+        if _plain(text):
             cuts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        else:
+            cuts = _CUT.split(text)
         return b"".join(map(self.__getitem__, cuts))
 
+    def ids_of_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; holds TOGETHER bytes and the longest text."""
+        held: list[str | None] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len((text or "").encode())
+            if size >= TOGETHER:
+                yield from self._ids_together(held)
+                held, size = [], 0
+        yield from self._ids_together(held)
+
+    def _ids_together(self, texts: list[str | None]) -> list[bytes]:
+        together = [i for i, text in enumerate(texts) if text and len(text) < TOGETHER and _plain(text)]
+        out = [b""] * len(texts)
+        for i in {*range(len(texts))}.difference(together):
+            out[i] = self.ids(texts[i])
+        if not together:
+            return out
+        parts = [texts[i].encode() for i in together]
+        raw, ends = np.frombuffer(b"".join(parts), "u1"), np.cumsum([len(x) for x in parts])
+        # a cut begins with a text, at a blank and behind a line feed
+        begins, feeds = np.ones(len(raw) + 1, bool), raw == ord("\n")
+        begins[1:-1] = (feeds | (raw == ord(" ")))[1:] | feeds[:-1]
+        begins[ends] = True
+        offsets = np.flatnonzero(begins).astype(np.int32)
+        cuts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        known, which = list(map(self.__getitem__, cuts.dictionary.to_numpy(zero_copy_only=False))), cuts.indices.to_numpy()
+        sizes, table = np.fromiter(map(len, known), np.int64, len(known)) // 4, np.frombuffer(b"".join(known), "<u4")
+        n = sizes[which]
+        upto = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - n), n)
+        at += np.arange(len(at))
+        ids = table.take(at)
+        stops = upto[np.searchsorted(offsets, ends) - 1].tolist()
+        for i, a, b in zip(together, [0, *stops], stops):
+            out[i] = ids[a:b].tobytes()
+        return out
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -13,12 +13,15 @@ each block; then the blocks.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
 
 MAGIC = b"WVMX0001"
 BLOCK = 1 << 15
+#: Ids that are dealt at a time.
+PART = 1 << 14
 
 
 def _packed(raw: bytes) -> bytes:
@@ -29,6 +32,19 @@ def _unpacked(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def _places(bits: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice, np.ndarray, slice]]:
+    """Part by part: where it lies, its places of zeros, where these go among the dealt ids, and so for its ones.
+
+    Taking by place is faster than by mask where bits change often, if the places stay in the processor's cache.
+    """
+    a, b = 0, zeros
+    for at in range(0, len(bits), PART):
+        part = bits[at : at + PART]
+        zero, one = np.flatnonzero(~part), np.flatnonzero(part)
+        yield slice(at, at + len(part)), zero, slice(a, a + len(zero)), one, slice(b, b + len(one))
+        a, b = a + len(zero), b + len(one)
+
+
 def write(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """The file of documents that lie one after the other in ids."""
     n = len(ids)
@@ -38,7 +54,7 @@ def write(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     sizes = _packed(np.array(lengths, "<u8").tobytes())
     now, directory, blocks, place = ids.astype("<u2" if planes <= 16 else "<u4"), [], [], 0
     for level in reversed(range(planes)):
-        bits = (now >> level) & 1 != 0
+        bits = (now & now.dtype.type(1 << level)).astype(bool)
         raw = np.packbits(bits, bitorder="little")
         entries, before = [], 0
         for at in range(0, len(raw), BLOCK):
@@ -48,7 +64,11 @@ def write(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
             place += len(blocks[-1])
             before += int(np.bitwise_count(part).sum())
         directory.append(struct.pack("<QQ", n - before, len(entries)) + np.array(entries, "<u8").tobytes())
-        now = np.concatenate([now[~bits], now[bits]])
+        dealt = np.empty_like(now)
+        for here, zero, to_zeros, one, to_ones in _places(bits, n - before):
+            part = now[here]
+            dealt[to_zeros], dealt[to_ones] = part.take(zero), part.take(one)
+        now = dealt
     return b"".join([MAGIC, struct.pack("<5Q", n, len(doc_ids), planes, len(ident), len(sizes)), ident, sizes, *directory, *blocks])
 
 
@@ -93,8 +113,10 @@ class Wavelet:
             raw = b"".join(_unpacked(self.raw[self._at + int(p) : self._at + int(p) + int(s)]) for p, s, _ in self.blocks[plane])
             bits = np.unpackbits(np.frombuffer(raw, "u1"), count=self.n, bitorder="little").view(bool)
             z, undone = self.zeros[plane], np.empty_like(out)
-            undone[~bits] = out[:z]
-            undone[bits] = out[z:] | (1 << (self.planes - 1 - plane))
+            out[z:] |= out.dtype.type(1 << (self.planes - 1 - plane))
+            for here, zero, from_zeros, one, from_ones in _places(bits, z):
+                part = undone[here]
+                part[zero], part[one] = out[from_zeros], out[from_ones]
             out = undone
         return out
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm import token_files, wavelet
+from siltstone.llm import token_files, tokens, wavelet
 from siltstone.llm.common import shared_path
 from tests.llm.helpers import documents, texts
 
@@ -35,6 +35,37 @@ def test_wavelet_round_trip_and_lookups(monkeypatch):
                 w.find(token, len(places))
 
 
+def test_wavelet_parts(monkeypatch):
+    """Ids dealt part by part, the last one short: the same file, and the same ids read."""
+    ids = np.random.default_rng(6).integers(0, 50_000, 1003).astype("<u4")
+    whole = wavelet.write(ids, [1], [1003])
+    for part in (1, 64, 1003):
+        monkeypatch.setattr(wavelet, "PART", part)
+        assert wavelet.write(ids, [1], [1003]) == whole
+        assert wavelet.Wavelet(whole).ids().tolist() == ids.tolist()
+
+
+def test_texts_together(monkeypatch):
+    """Each text's ids are the tokenizer's, and a cut is looked up once for all texts that are cut together."""
+    seen = []
+
+    class Counting(tokens.Encoder):
+        def __getitem__(self, cut):
+            seen.append(cut)
+            return super().__getitem__(cut)
+
+    plain = ["one two two\ntwo one", "two", "Ünï two\n日本語 two"] * 50
+    made = list(Counting(FILE).ids_of_all(plain))
+    assert [np.frombuffer(x, "<u4").tolist() for x in made] == [PLAIN.encode(t, add_special_tokens=False).ids for t in plain]
+    assert len(seen) < 20 and seen.count(" two") == 1
+    hard = [*texts(), "a\nb", "a \nb", " a", "a\n", "x's y'll 12 345, <|endoftext|> z", "\x00", "tab\tin", *plain]
+    want = [PLAIN.encode(t or "", add_special_tokens=False).ids for t in hard]
+    for most in (1, 30, 4000, 1 << 22):
+        monkeypatch.setattr(tokens, "TOGETHER", most)
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(FILE).ids_of_all(hard)] == want
+    assert list(tokens.Encoder(FILE).ids_of_all([])) == []
+
+
 def test_files_hold_every_id(spark):
     rows = [*((i * 3 % 11, t) for i, t in enumerate(texts())), (None, "null id"), (5, "twice"), (5, "twice"), (2**40, "far")]
     folder = shared_path(spark, "token-files")
