@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import staged, table, texts
+from siltstone.llm.common import memories, staged, table, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Added to the input's columns; renamed by callers.
@@ -46,6 +46,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+memories.append(_hashes)
 
 
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from contextlib import suppress
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.plans.staging import shared_dir, shared_path, staged
 
-__all__ = ["WORD", "bound", "joined", "let_go", "range_count", "shared_dir", "shared_path", "staged", "table", "texts", "word_count"]
+__all__ = ["WORD", "bound", "forget", "joined", "let_go", "memories", "range_count", "shared_dir", "shared_path", "staged", "table", "texts", "trimmed", "word_count"]
 
 #: A word: a run of code points other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +74,29 @@ def let_go(spark: SparkSession) -> None:
         invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
 
 
+#: Words that this process, a worker, remembers between tasks, a mapping for each operator.
+memories: list[dict] = []
+
+
+def forget() -> None:
+    """Empty the memories of words and give freed memory back to the system."""
+    for memory in memories:
+        memory.clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # the GNU C library only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """run, a function of batches, whose worker forgets at its end what other stages left: it stays for later ones, which need their own memory."""
+
+    def done(batches):
+        yield from run(batches)
+        forget()
+
+    return done
+
+
 def range_count(size: int, least: int = 4 << 20, most: int = 512 << 20) -> int:
     """Number of ranges for so many bytes of text: each has `least` bytes, from 4096 ranges on more, up to `most`."""
     return max(1, min(4096, size // least), size // most)

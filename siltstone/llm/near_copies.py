@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import joined, staged
+from siltstone.llm.common import joined, staged, trimmed
 from siltstone.llm.simhash import HELD, MIX, Forest, _contracted, _shuffles_dropped, close_classes, components
 
 WIDTH, LEAST = 5, 0.8
@@ -180,8 +180,8 @@ def _by_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked_by_key(rows: DataFrame, least: float, held: int) -> DataFrame:
     """(node, n, bands, class, text) of nodes in large groups -> (node, root) by all verified links of candidate pairs."""
-    sets = staged(rows.select("node", "n", "bands", "class", "text").mapInArrow(_stored, "node long, n long, bands binary, class long, held binary"), "near-sets")
-    entries = sets.select("node", "n", "bands").mapInArrow(_by_band, "band int, key long, node long, n long")
+    sets = staged(rows.select("node", "n", "bands", "class", "text").mapInArrow(trimmed(_stored), "node long, n long, bands binary, class long, held binary"), "near-sets")
+    entries = sets.select("node", "n", "bands").mapInArrow(trimmed(_by_band), "band int, key long, node long, n long")
     entries = staged(entries.unionByName(sets.select(F.lit(BANDS).alias("band"), _class_key().alias("key"), "node", "n")), "near-entries")
     count, labels = sets.count(), sets.select(F.col("node").alias("fp"), F.col("node").alias("root"))
     for bands in BAND_SETS:
@@ -202,7 +202,7 @@ def linked_by_key(rows: DataFrame, least: float, held: int) -> DataFrame:
             else:
                 group = F.xxhash64("key", "chunk")
             held_rows = dealt.select(group.alias("root"), "node").distinct().join(sets.select("node", "held", "class"), "node").select("root", "node", "held", "class")
-            links = staged(held_rows.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_verified(least, True), "a long, b long"), "near-links")
+            links = staged(held_rows.repartition("root").sortWithinPartitions("root", "node").mapInArrow(trimmed(_verified(least, True)), "a long, b long"), "near-links")
             labels = _contracted(labels, components(links), count)
     return labels.select(F.col("fp").alias("node"), "root")
 
@@ -221,15 +221,15 @@ def alike(nodes: DataFrame, n_nodes: int) -> DataFrame:
 def classes(docs: DataFrame, least: float = LEAST, held: int = HELD_SHINGLES) -> DataFrame:
     """documents -> (doc_id, component_id)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = staged(rows.mapInArrow(_prints, "doc_id long, text string, node long, n long, fp long, bands binary").withColumn("row_no", F.monotonically_increasing_id()), "near-prints")
+    prints = staged(rows.mapInArrow(trimmed(_prints), "doc_id long, text string, node long, n long, fp long, bands binary").withColumn("row_no", F.monotonically_increasing_id()), "near-prints")
     # the text and the keys of a node are those of its first row
     nodes = staged(prints.groupBy("node").agg(F.min("row_no").alias("first_row"), F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.count("*").alias("n_rows")), "near-nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
     nodes = staged(alike(nodes, n_nodes), "near-alike")
     with _shuffles_dropped(docs.sparkSession):
-        entries = prints.join(nodes.select("first_row"), F.col("row_no") == F.col("first_row"), "left_semi").select("node", "bands").mapInArrow(_entries, "key long, node long")
+        entries = prints.join(nodes.select("first_row"), F.col("row_no") == F.col("first_row"), "left_semi").select("node", "bands").mapInArrow(trimmed(_entries), "key long, node long")
         entries = entries.unionByName(nodes.select(_class_key().alias("key"), "node"))
-        links = staged(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long"), "near-candidates")
+        links = staged(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_candidates), "a long, b long"), "near-candidates")
         groups = components(links)
         groups = staged(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "near-groups")
         firsts = nodes.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("first_row", "root", "n", "class")
@@ -239,7 +239,7 @@ def classes(docs: DataFrame, least: float = LEAST, held: int = HELD_SHINGLES) ->
         small, large = (sized.where(x).select("first_row", "root", "class") for x in (F.col("size") <= held, F.col("size") > held))
         # dealt by row at every size: only small tables of candidates could be broadcast
         texts = prints.join(small.hint("merge"), F.col("row_no") == F.col("first_row")).select("root", "node", F.col("text").alias("held"), "class")
-        pairs = staged(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_verified(least), "a long, b long"), "near-links")
+        pairs = staged(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(trimmed(_verified(least)), "a long, b long"), "near-links")
         if not sizes.where(F.col("size") > held).isEmpty():
             named = linked_by_key(prints.join(large, F.col("row_no") == F.col("first_row")), least, held)
             pairs = pairs.unionByName(named.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -19,6 +19,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from siltstone.llm.common import memories
+
 #: Most words that one worker remembers, and the longest of them in characters.
 MEMORY, LONGEST = 1_200_000, 48
 #: Bytes of texts that are cut together.
@@ -129,4 +131,5 @@ def encoder(tokenizer_file: str) -> Encoder:
     """One encoder for each file and worker process."""
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = Encoder(tokenizer_file)
+        memories.append(_encoders[tokenizer_file])
     return _encoders[tokenizer_file]

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from siltstone.llm import near_copies, simhash
+from siltstone.llm import common, near_copies, simhash
 from tests.llm.helpers import documents, texts
 
 
@@ -108,3 +109,26 @@ def bands(words):
 
 def prints(words):
     return near_copies.fingerprint(near_copies.shingles(" ".join(words)))
+
+
+def test_workers_forget_words_of_other_stages(spark):
+    """After a near-copy task its worker holds none of the words that encoding left there."""
+    import public_tokenizers
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+
+    def held(batches):
+        from siltstone.llm.tokens import encoder
+
+        for batch in batches:
+            encoder(file).ids("some words to hold")
+            yield batch
+
+    def left(batches):
+        from siltstone.llm.tokens import encoder
+
+        for _ in common.trimmed(held)(batches):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(encoder(file))], pa.int64())], names=["n"])
+
+    assert [r.n for r in spark.range(0, 5, 1, 1).mapInArrow(left, "n long").collect()] == [0]
