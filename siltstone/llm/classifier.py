@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import memories, staged, table, texts
+from siltstone.llm.common import forget, memories, staged, table, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Added to the input's columns; renamed by callers.
@@ -49,6 +49,11 @@ _hashes = _Hashes()
 memories.append(_hashes)
 
 
+def _alone() -> None:
+    """Have this worker forget what other operators remember. Tasks call it by name: they get copies of what they hold themselves."""
+    forget(_hashes)
+
+
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values) of a whole text; slot 2**bits is the intercept."""
     h = np.fromiter(map(_hashes.__getitem__, TOKEN.findall(text or "")), np.uint32)
@@ -84,6 +89,7 @@ class Ftrl:
 
 def _extract(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _alone()
         for batch in batches:
             got = [features(x.as_py(), bits) for x in batch.column("text")]
             columns = [pa.array([a.astype(t).tobytes() for a in g], pa.binary()) for g, t in zip(zip(*got), ("<u4", "<f4"))] if got else [pa.array([], pa.binary())] * 2
@@ -130,6 +136,7 @@ def trained(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int =
 
 def _score(weights: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _alone()
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column("text")):

@@ -78,9 +78,15 @@ def let_go(spark: SparkSession) -> None:
 memories: list[dict] = []
 
 
-def forget() -> None:
-    """Empty the memories of words and give freed memory back to the system."""
-    for memory in memories:
+def forget(but: dict | None = None) -> None:
+    """Empty the memories of words, all or all but one, and give freed memory back to the system.
+
+    With `but`, at the beginning of a task that needs that one: nothing is done if the others are empty.
+    """
+    others = [memory for memory in memories if memory is not but and (memory or but is None)]
+    if but is not None and not others:
+        return
+    for memory in others:
         memory.clear()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # the GNU C library only

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import staged, texts
-from siltstone.llm.tokens import encoder
+from siltstone.llm.tokens import Sparing, encoder
+from siltstone.plans.staging import small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -40,7 +41,7 @@ def cut(ids: bytes, window: int) -> list[tuple[int, int, int]]:
 
 def _pieces(tokenizer_file: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_file).ids, end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer_file, Sparing).ids, end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -115,7 +116,8 @@ def _packed(window: int):
 
 def packed(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = 2048, group_pieces: int = 32_768) -> DataFrame:
     """documents -> one row for each piece: its document, place there, checksum, sequence and offset."""
-    pieces = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_file, end_id, window), PIECES), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_file, end_id, window), PIECES), "pack-pieces")
     groups = -(-pieces.count() // group_pieces) or 1
     named = ("doc_id", "start", "ids_crc32")
     share = max(1, group_pieces // 4)

@@ -19,10 +19,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm.common import memories
+from siltstone.llm.common import forget, memories
 
 #: Most words that one worker remembers, and the longest of them in characters.
 MEMORY, LONGEST = 1_200_000, 48
+#: Most words that a sparing encoder remembers, and marks that it has for those met once.
+FEW, MARKS = 400_000, 1 << 22
 #: Bytes of texts that are cut together.
 TOGETHER = 4 << 20
 
@@ -69,11 +71,14 @@ class Encoder(dict):
         else:
             ids = array("I", self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()
         if len(cut) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[cut] = ids
+            self._remember(cut, ids)
         return ids
 
+    def _remember(self, cut: str, ids: bytes) -> None:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[cut] = ids
+
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text; null counts as empty."""
         if not text:
@@ -124,12 +129,41 @@ class Encoder(dict):
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+class Sparing(Encoder):
+    """An encoder that remembers a word when it comes a second time: words that come once, most of a large vocabulary, take no memory.
+
+    A word that shares its mark with another may be remembered at once; the ids are the same either way.
+    """
+
+    def __init__(self, tokenizer_file: str) -> None:
+        super().__init__(tokenizer_file)
+        self.met, self.marked = bytearray(MARKS), 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.met, self.marked = bytearray(MARKS), 0
+
+    def _remember(self, cut: str, ids: bytes) -> None:
+        mark = hash(cut) % MARKS
+        if self.met[mark]:
+            if len(self) >= FEW:
+                super().clear()
+            self[cut] = ids
+            return
+        if self.marked >= MARKS // 2:
+            self.met, self.marked = bytearray(MARKS), 0
+        self.met[mark] = 1
+        self.marked += 1
+
+
+_encoders: dict[tuple[str, type[Encoder]], Encoder] = {}
 
 
-def encoder(tokenizer_file: str) -> Encoder:
-    """One encoder for each file and worker process."""
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = Encoder(tokenizer_file)
-        memories.append(_encoders[tokenizer_file])
-    return _encoders[tokenizer_file]
+def encoder(tokenizer_file: str, kind: type[Encoder] = Encoder) -> Encoder:
+    """One encoder of a kind for each file and worker process; the worker forgets what other operators remember."""
+    key = tokenizer_file, kind
+    if key not in _encoders:
+        _encoders[key] = kind(tokenizer_file)
+        memories.append(_encoders[key])
+    forget(_encoders[key])
+    return _encoders[key]

@@ -46,17 +46,25 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Shuffle files of each action go as it ends, while this holds."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _held(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of each action go as it ends, while this holds."""
+    return _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """Python gets rows in batches of about so many bytes, one row at least, while this holds; Spark and the worker each hold a batch or two."""
+    return _held(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def cleaned(spark: SparkSession) -> int:
     """Remove all that this process wrote to the shared folder; call it when no result is read any more. Returns how many paths."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()

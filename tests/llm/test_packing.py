@@ -4,11 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm import packing
-from siltstone.llm.tokens import Encoder
+from siltstone.llm import common, packing, tokens
+from siltstone.llm.tokens import Encoder, Sparing
 from tests.llm.helpers import documents, texts
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +30,43 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain_ids(text), repr(text)
 
 
+def test_words_that_come_once_take_no_memory():
+    """A task that packs remembers the words that come again, and nothing of other operators."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(3000)]
+    common.forget()
+    of_others = tokens.encoder(FILE)
+    of_others.ids("words of another operator")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array([" ".join(words), "again " * 2 + "and again", " ".join(words[:20])])], names=["doc_id", "text"])
+    for made in packing._pieces(FILE, 1, 2048)(iter([batch])):
+        assert sum(made.column("length").to_pylist()) == sum(len(plain_ids(x)) + 1 for x in batch.column("text").to_pylist())
+    assert 20 <= sum(map(len, common.memories)) < 100
+    assert not of_others
+    common.forget()
+
+
+def test_sparing_encoder_equals_the_library(monkeypatch):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abé", k=rng.randint(1, 6))) for _ in range(300)]
+    made = [" ".join(rng.choices(vocabulary, k=40)) + rng.choice("! \n") for _ in range(100)]
+    for few, marks in ((400_000, 1 << 22), (20, 64), (1, 1)):
+        monkeypatch.setattr(tokens, "FEW", few)
+        monkeypatch.setattr(tokens, "MARKS", marks)
+        encode = Sparing(FILE)
+        for text in [*texts(), *made]:
+            assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain_ids(text), repr(text)
+            assert len(encode) <= few
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """Spark hands documents over by bytes, not by ten thousand rows; the session's setting is as before."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "staged", lambda df, what, f=packing.staged: seen.append((what, int(spark.conf.get(name).rstrip("b")))) or f(df, what))
+    assert packing.packed(documents(spark, [(i, "x" * 300_000) for i in range(30)]), FILE).groupBy("doc_id").count().count() == 30
+    assert dict(seen)["pack-pieces"] <= 4 << 20 and spark.conf.get(name) == before
+
+
 def test_best_fit_is_the_tightest():
     rng = random.Random(2)
     for window in (1, 2, 7, 64, 100):
